@@ -96,6 +96,7 @@ class Words:
         inside = members[data].view(np.int8)
         edge = np.diff(inside, prepend=np.int8(0), append=np.int8(0))
         self.data = data
+        self._sums: np.ndarray | None = None
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         self.row_start = starts_of_rows + np.arange(rows + 1)
@@ -104,12 +105,17 @@ class Words:
         self.row = np.repeat(np.arange(rows), self.counts)
 
     def hashes(self) -> np.ndarray:
+        return self.hashes_of(self.start, self.end)
+
+    def hashes_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of byte spans, as of a word of the same bytes."""
         n = len(self.data)
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(_BYTE_CODE[self.data] * _power_table(_BASE, n), out=sums[1:])
-        width = (self.end - self.start).astype(np.uint64)
-        return mix((sums[self.end] - sums[self.start]) * _power_table(_BASE_INVERSE, n + 1)[self.start] + width * _ODD)
+        if self._sums is None:
+            self._sums = np.empty(n + 1, np.uint64)
+            self._sums[0] = 0
+            np.cumsum(_BYTE_CODE[self.data] * _power_table(_BASE, n), out=self._sums[1:])
+        width = (end - start).astype(np.uint64)
+        return mix((self._sums[end] - self._sums[start]) * _power_table(_BASE_INVERSE, n + 1)[start] + width * _ODD)
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
