@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import ALNUM_WORD, whole_row
+from orrery.llm.shared import ALNUM_WORD, settled, whole_row
 
 # Phrases and labels of the contract, in its order.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -35,8 +35,12 @@ TEMPLATES = {
 CONTAINMENT = 0.8
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_PHRASE = "(?i)" + "|".join(rf"(?<![0-9a-z\x80-\x{{10FFFF}}]){_BREAK.join(p.split())}(?![0-9a-z\x80-\x{{10FFFF}}])" for p in PHRASES)
+_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
+
+
+def _any_of(phrases: list[str]) -> str:
+    """A pattern for lower-cased text that holds one of the phrases; it is tried after breaks only."""
+    return rf"(?:^|{_BREAK})(?:{'|'.join(f'{_BREAK}+'.join(p.split()) for p in phrases)})(?:{_BREAK}|$)"
 
 
 def _words(text: Column) -> Column:
@@ -65,30 +69,26 @@ def _places(phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size("folded")), same)
 
 
-def template_prefixes(docs: DataFrame, text: str, templates: dict[str, str], containment: float) -> DataFrame:
+def template_prefixes(scanned: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
     """label, token, place, need, size, words: the prefix of each template in the order of document frequencies."""
-    vocabulary = sorted({w for t in templates.values() for w in t.split()})
-    seen = docs.select(F.explode(F.array_intersect(F.transform(_words(F.col(f"`{text}`").cast("string")), lambda w: F.lower(w)), _strings(vocabulary))).alias("token"))
+    seen = scanned.select(F.explode("vocabulary").alias("token"))
     counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
     rows = []
     for label, notice in templates.items():
         words = sorted(set(notice.split()), key=lambda w: (counts.get(w, 0), w))
         need = -(-len(words) * round(containment * 100) // 100)
         rows += [(label, w, place, need, len(words), words) for place, w in enumerate(words[: len(words) - need + 1])]
-    return docs.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>")
+    return scanned.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>")
 
 
-def match_templates(docs: DataFrame, text: str, templates: dict[str, str], containment: float) -> DataFrame:
+def match_templates(docs: DataFrame, text: str, prefixes: DataFrame) -> DataFrame:
     """(text_key, label, share) of the texts that hold a block meeting a template."""
-    prefixes = template_prefixes(docs, text, templates, containment)
     tokens = sorted({r["token"] for r in prefixes.select("token").collect()})
-    fewest = min(r["need"] for r in prefixes.select("need").collect())
-    # A line without any prefix word is dropped before its words are compared.
-    body = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
-    lines = body.select(F.md5("text").alias("text_key"), F.explode(F.split("text", "\n")).alias("line"))
-    blocks = lines.withColumn("words", F.transform(_words(F.col("line")), lambda w: F.lower(w)))
-    blocks = blocks.where((F.size("words") >= fewest) & F.arrays_overlap("words", _strings(tokens)))
-    blocks = blocks.select("text_key", F.array_distinct("words").alias("block"))
+    holds_token = _any_of(tokens)
+    # Texts and lines without any prefix word are dropped before words are taken.
+    body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("lower", F.lower("text")).where(F.col("lower").rlike(holds_token))
+    lines = body.select(F.md5("text").alias("text_key"), F.explode(F.split("lower", "\n")).alias("line")).where(F.col("line").rlike(holds_token))
+    blocks = lines.select("text_key", F.array_distinct(_words(F.col("line"))).alias("block"))
     keyed = blocks.select("text_key", "block", F.explode(F.array_intersect("block", _strings(tokens))).alias("token"))
     pairs = keyed.join(F.broadcast(prefixes), "token")  # bounded: the templates are part of the code
     pairs = pairs.where((F.size("block") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
@@ -107,22 +107,26 @@ def scan_licenses(
     beside the named ones are ignored.
     """
     templates = TEMPLATES if templates is None else templates
+    vocabulary = sorted({w for t in templates.values() for w in t.split()})
+    none = F.array().cast("array<string>")
     out = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    out = out.withColumn("n_words", F.regexp_count("text", F.lit(ALNUM_WORD)).cast("long"))
-    out = out.withColumn("folded", F.when(F.col("text").rlike(_PHRASE), _folded(_words(F.col("text")))).otherwise(F.array().cast("array<string>")))
+    # Lower-casing outside ASCII never turns a word character into a break, so the words are as many.
+    out = out.withColumn("lower", F.lower("text")).withColumn("words", _words(F.col("lower")))
+    out = out.withColumn("folded", F.when(F.col("lower").rlike(_any_of(list(PHRASES))), _folded(_words(F.col("text")))).otherwise(none))
     out = out.withColumns({f"at_{k}": F.when(F.size("folded") > 0, _places(p)).otherwise(F.array().cast("array<int>")) for k, p in enumerate(PHRASES)})
     out = out.withColumn("places", F.concat(*[f"at_{k}" for k in range(len(PHRASES))]))
     out = out.withColumn("base_labels", F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))))
     out = out.select(
-        *(["document"] if carry else []), F.md5("text").alias("text_key"), "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
-        F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base_labels",
+        *(["document"] if carry else []), F.md5("text").alias("text_key"), "doc_id", F.size("words").cast("long").alias("n_words"), F.array_intersect("words", _strings(vocabulary)).alias("vocabulary"),
+        F.size("places").cast("long").alias("n_base"), F.array_min("places").cast("long").alias("first_word"), F.array_max("places").cast("long").alias("last_word"), "base_labels",
     )
+    out = out if carry else settled(out)  # small without the texts, and read twice
     if templates:
-        met = match_templates(docs, text, templates, containment)
+        met = match_templates(docs, text, template_prefixes(out, templates, containment))
         met = met.groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # a label a template at most
-        out = out.join(met, "text_key", "left")
+        out = out.join(settled(met), "text_key", "left")
     else:
         out = out.withColumns({"more": F.lit(None).cast("array<string>"), "share": F.lit(None).cast("double")})
-    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", F.array().cast("array<string>")))))
+    labels = F.array_sort(F.array_distinct(F.concat("base_labels", F.coalesce("more", none))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("share", F.lit(0.0)))
     return out.select(*(["document"] if carry else []), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", labels.alias("labels"), score.alias("score"))
