@@ -72,9 +72,10 @@ def measure(docs: DataFrame, doc_id: str, text: str, carry: bool) -> DataFrame:
     )
 
 
-def rank_rules(measured: DataFrame, tried: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def rank_rules(docs: DataFrame, text: str, tried: list[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """Rules by rejections per second on a sample, best first; never-rejecting rules last, cheapest first."""
-    sample = measured.drop("document").limit(sample_rows).persist()
+    first = docs.select(F.lit(0).alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).take(sample_rows)
+    sample = measure(docs.sparkSession.createDataFrame(first, "doc_id int, text string"), "doc_id", "text", False).persist()
 
     def seconds(*columns: Column) -> tuple[float, list]:
         query = sample.agg(F.count(F.lit(1)), *[F.count_if(c) for c in columns])
@@ -104,7 +105,7 @@ def judge_quality(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     """
     measured = measure(docs, doc_id, text, carry)
     verdict = F.when(F.col("base_failed"), F.lit("base"))
-    for rule in rank_rules(measured, rules(), sample_rows):
+    for rule in rank_rules(docs, text, rules(), sample_rows):
         verdict = verdict.when(rule.rejects, F.lit(rule.name))
     return measured.withColumn("failed_rule", verdict).withColumn("kept", F.col("failed_rule").isNull()).drop("text", "word_hash")
 

@@ -51,7 +51,7 @@ def test_quality_base(spark):
 def test_quality_order_never_changes_verdicts(spark, monkeypatch):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     first = judge_quality(docs).select("doc_id", "kept").collect()
-    monkeypatch.setattr(quality, "rank_rules", lambda measured, tried, rows: tried[::-1])
+    monkeypatch.setattr(quality, "rank_rules", lambda docs, text, tried, rows: tried[::-1])
     assert sorted(first) == sorted(judge_quality(docs).select("doc_id", "kept").collect())
 
 
