@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import quality
 from orrery.llm.decontaminate import decontaminate
+from orrery.llm.jaccard import jaccard_components
 from orrery.llm.licenses import scan_licenses
 from orrery.llm.mixing import mix_sources
 from orrery.llm.pii import BASE, find_pii, span_string
@@ -29,6 +30,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.col("spans")
 
@@ -62,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
     "op8_mixing": op8_mixing,
