@@ -11,8 +11,8 @@ outputs, not its single words, are what is scored.
 The lexicon of insults is learned: words and word beginnings that stand in
 many different surroundings in toxic training texts and in (nearly) none of
 the others.  Output weights are a logistic regression on the same sample.
-Training rows are a bounded sample, the first SAMPLE_ROWS of each class in
-hash order; everything else reads all rows.
+Training rows are a bounded sample, about SAMPLE_ROWS of each class, chosen by
+a hash of their id; everything else reads all rows.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from orrery.llm import textkit
 from orrery.llm.shared import whole_row
 
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
 SCOPE = 3
 STEMS = (4, 5, 6)
 #: Different surroundings in toxic sample texts that a lexicon entry needs.
@@ -163,27 +163,46 @@ def learn_lexicon(texts: pa.Array, toxic: np.ndarray, support: int = SUPPORT, pu
     Surroundings (the words before and after) are counted once, so that a
     group of copies counts as one text.
     """
-    around: dict[bytes, tuple[set, set]] = defaultdict(lambda: (set(), set()))
-    row = 0
+    parts, spelled, row = [], {}, 0
     for kit in _kits(texts):
         hashes = kit.hashes()
-        near = np.concatenate([[0], hashes[:-1]]).astype(np.uint64) * np.uint64(3) + np.concatenate([hashes[1:], [0]]).astype(np.uint64)
-        for i, (s, e, r, h) in enumerate(zip(kit.start.tolist(), kit.end.tolist(), kit.row.tolist(), near.tolist(), strict=True)):
-            if e - s < STEMS[0] or e - s > 40:
-                continue
-            side = int(toxic[row + r])
-            word = kit.data[s:e].tobytes()
-            around[word][side].add(h)
+        around = textkit.mix(np.append(np.uint64(0), hashes[:-1]) * np.uint64(3) + np.append(hashes[1:], np.uint64(0)))
+        bad = toxic[row + kit.row] > 0
+        long = np.flatnonzero(kit.end - kit.start >= STEMS[0])
+        stems = [np.where(kit.end[long] - kit.start[long] > n, kit.hashes_of(kit.start[long], np.minimum(kit.start[long] + n, kit.end[long])), 0) for n in STEMS]
+        parts.append(np.stack([hashes[long], around[long], bad[long].astype(np.uint64), *stems]))
+        for i in long[bad[long]].tolist():
+            spelled.setdefault(int(hashes[i]), kit.word(i))
         row += len(kit.counts)
-    words = {w for w, (clean, bad) in around.items() if len(bad) >= support and len(bad) >= purity * (len(bad) + len(clean))}
-    totals: dict[bytes, list] = defaultdict(lambda: [0, 0, 0])
-    for w, (clean, bad) in around.items():
+    if not parts:
+        return set(), set()
+    word, around, bad, *stems = np.concatenate(parts, axis=1)
+    _, once = np.unique(textkit.mix(word + textkit.mix(around)) * np.uint64(2) + bad, return_index=True)
+    bad = bad[once].astype(bool)
+
+    def pure(keys: np.ndarray, least: int) -> dict[int, tuple[int, int]]:
+        """Toxic and clean surroundings of the keys that pass."""
+        known, at = np.unique(keys, return_inverse=True)
+        n_bad, n_all = np.bincount(at, bad, len(known)), np.bincount(at, minlength=len(known))
+        good = (n_bad >= least) & (n_bad >= purity * n_all) & (known != 0)
+        return {int(k): (int(b), int(a - b)) for k, b, a in zip(known[good], n_bad[good], n_all[good], strict=True)}
+
+    words = {spelled[h] for h in pure(word[once], support)}
+    kinds: dict[bytes, int] = defaultdict(int)
+    for w in spelled.values():
         for n in STEMS:
             if len(w) > n:
-                t = totals[w[:n]]
-                t[0], t[1], t[2] = t[0] + len(clean), t[1] + len(bad), t[2] + bool(bad)
-    stems = {s for s, (clean, bad, kinds) in totals.items() if kinds >= 3 and bad >= 4 * support and bad >= purity * (bad + clean) and clean <= 2}
-    return words, stems
+                kinds[w[:n]] += 1
+    ordered = sorted(kinds)
+    body = np.frombuffer(b" ".join(ordered), np.uint8)
+    by_hash = dict(zip(textkit.Words(body, np.array([0, len(body)]), np.arange(256) != 0x20, False).hashes().tolist(), ordered, strict=True))
+    found = set()
+    for hashes in stems:
+        for h, (_, clean) in pure(hashes[once], 4 * support).items():
+            stem = by_hash[h]
+            if clean <= 2 and kinds[stem] >= 3:
+                found.add(stem)
+    return words, found
 
 
 def fit_weights(grammar: Grammar, counts: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> None:
@@ -201,12 +220,14 @@ def fit_weights(grammar: Grammar, counts: np.ndarray, toxic: np.ndarray, rounds:
     grammar.weights, grammar.bias = w, float(b)
 
 
-def train(labelled: DataFrame, text: str, toxic: str, sample_rows: int) -> Grammar:
-    """A grammar from a bounded sample: of each class the first ``sample_rows`` rows in the order of a hash of the text."""
-    rows = []
-    for label in (0, 1):
-        part = labelled.where(F.col(toxic) == label).orderBy(F.xxhash64(text), text).limit(sample_rows).select(text, toxic)
-        rows += part.collect()
+def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows: int) -> Grammar:
+    """A grammar from a bounded sample: of each class about ``sample_rows`` rows, by a hash of doc_id."""
+    sizes = {r[toxic]: r["count"] for r in known.where(~held_out(F.col("id"))).groupBy(toxic).count().collect()}
+    limit = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, float(sample_rows) / n)]) if sizes else None
+    if not sizes or len(sizes) < 2:
+        return Grammar(set(), set())
+    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < limit[F.col(toxic)] * float(1 << 30))
+    rows = docs.join(chosen, docs["doc_id"] == chosen["id"]).select(text, toxic).collect()
     texts = pa.array([r[0] for r in rows], pa.large_string())
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
@@ -247,7 +268,7 @@ def score_toxicity(
     known = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     seen = rows.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
-    grammar = train(seen.join(known, seen["doc_id"] == known["id"]).select("text", "toxic"), "text", "toxic", sample_rows)
+    grammar = train(seen, known, "text", "toxic", sample_rows)
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # lexicon of a bounded sample
     kept = rows.drop("text")
     out = rows.mapInArrow(_score(shared, "text"), kept.withColumn("score", F.lit(0.0)).schema)
