@@ -49,7 +49,7 @@ THRESHOLD = 75
 #: Tokens that one counting task sorts at once, about.
 BUCKET_TOKENS = 4_000_000
 #: The sample that finds hot tokens and classes, and the count there that makes one.
-SAMPLE_ROWS, HOT = 4096, 12
+SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs of a bucket pass that are few enough to test all.
 STAR_ROUNDS, FEW_PAIRS = 10, 1_000_000
 
@@ -397,9 +397,9 @@ def jaccard_components(
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     sets = settled(body.mapInArrow(_describe(size), T.StructType([T.StructField("doc_id", body.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])))
-    total = sets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts = body.where("doc_id is not null").select("doc_id", "text")
-    sampled = texts.orderBy(F.xxhash64("doc_id"), "doc_id").select("text").limit(sample_rows).collect()
+    sampled = texts.select("text").sample(min(1.0, sample_rows / max(rows, 1)), seed=1).collect()
     column = pa.array([r["text"] for r in sampled], pa.large_string())
     known = Hot([s for _, words in textkit.text_chunks(iter([pa.record_batch({"text": column})]), "text", textkit.SOLID, True) for s in shingle_sets(words, size)], hot)
     parts = max(parallel(spark), -(-total // BUCKET_TOKENS))
