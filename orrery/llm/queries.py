@@ -13,6 +13,7 @@ from orrery.llm.jaccard import jaccard_components
 from orrery.llm.licenses import scan_licenses
 from orrery.llm.mixing import mix_sources
 from orrery.llm.pii import BASE, find_pii, span_string
+from orrery.llm.repeats import remove_repeats
 from orrery.llm.toxicity import score_toxicity
 from orrery.llm.urls import judge_urls
 
@@ -49,6 +50,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
     "op6_url_filter": op6_url_filter,
+    "op7_repeats": op7_repeats,
     "op8_mixing": op8_mixing,
     "op9_license_scan": op9_license_scan,
     "op10_quality_rules": op10_quality_rules,
