@@ -227,7 +227,8 @@ def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows:
     if not sizes or len(sizes) < 2:
         return Grammar(set(), set())
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < limit[F.col(toxic)] * float(1 << 30))
-    rows = docs.join(chosen, docs["doc_id"] == chosen["id"]).select(text, toxic).collect()
+    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"])  # about two samples of ids
+    rows = rows.select(text, toxic).collect()
     texts = pa.array([r[0] for r in rows], pa.large_string())
     y = np.array([r[1] for r in rows], np.int64)
     if len(set(y.tolist())) < 2:
