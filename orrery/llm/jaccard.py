@@ -91,7 +91,7 @@ def _describe(size: int):
             for tokens in shingle_sets(words, size):
                 n.append(len(tokens))
                 nodes.append(node_of(tokens) if len(tokens) else None)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "text_key": batch.column("text_key"), "n": pa.array(n, pa.int64()), "node": pa.array(nodes, pa.int64())})
 
     return run
 
@@ -382,21 +382,12 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     return labels if links.isEmpty() else merged(links)
 
 
-def jaccard_components(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD, sample_rows: int = SAMPLE_ROWS, hot: int = HOT,
-    star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS,
-) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links).
-
-    A null or wordless text has no shingles, is linked with nothing and is its
-    own component.  Rows without doc_id are linked with nothing either and have
-    no component.  Repeated rows each get a row.  An empty table gives none.
-    Columns beside the named ones are ignored.  Tokens are 48 bits of a word
-    n-gram's hash and classes 64 bits of a set's: equal hashes count as equal.
-    """
+def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int, sample_rows: int, hot: int, star_rounds: int, few_pairs: int) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n, component_id of every row."""
     spark = docs.sparkSession
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    sets = settled(body.mapInArrow(_describe(size), T.StructType([T.StructField("doc_id", body.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])))
+    body = body.withColumn("text_key", F.xxhash64("text"))
+    sets = settled(body.mapInArrow(_describe(size), T.StructType([T.StructField("doc_id", body.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])))
     total, rows = sets.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     texts = body.where("doc_id is not null").select("doc_id", "text")
     sampled = texts.select("text").sample(min(1.0, sample_rows / max(rows, 1)), seed=1).collect()
@@ -418,4 +409,36 @@ def jaccard_components(
     named = classes.join(labels, "node", "left").join(grouped, "label", "left").select("node", F.coalesce("component", "least").alias("component_id"))
     out = sets.join(settled(named), "node", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", "text_key", "n", component.alias("component_id"))
+
+
+def jaccard_components(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD, sample_rows: int = SAMPLE_ROWS, hot: int = HOT,
+    star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS,
+) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (the least doc_id reachable over links).
+
+    A null or wordless text has no shingles, is linked with nothing and is its
+    own component.  Rows without doc_id are linked with nothing either and have
+    no component.  Repeated rows each get a row.  An empty table gives none.
+    Columns beside the named ones are ignored.  Tokens are 48 bits of a word
+    n-gram's hash and classes 64 bits of a set's: equal hashes count as equal.
+    """
+    found = _assigned(docs, doc_id, text, size, threshold, sample_rows, hot, star_rounds, few_pairs)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each component the row with the least doc_id.
+
+    Of rows with that doc_id the one with the least hash of its text stays, of
+    equal rows one.  Rows without doc_id all stay.
+    """
+    found = settled(_assigned(docs, doc_id, text, size, threshold, SAMPLE_ROWS, HOT, STAR_ROUNDS, FEW_PAIRS).where("doc_id = component_id"))
+    heads = settled(found.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("head_id"), F.col("text_key").alias("head_key"), "rows"))
+    key = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    kept = docs.join(heads.drop("rows"), (F.col(f"`{doc_id}`") == F.col("head_id")) & (key == F.col("head_key")), "left_semi")
+    if not heads.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([doc_id])
+    nameless = docs.where(F.col(f"`{doc_id}`").isNull())
+    return kept if nameless.isEmpty() else kept.union(nameless)

@@ -13,6 +13,7 @@ from orrery.llm.jaccard import jaccard_components
 from orrery.llm.licenses import scan_licenses
 from orrery.llm.mixing import mix_sources
 from orrery.llm.pii import BASE, find_pii, span_string
+from orrery.llm.quotes import link_quotations
 from orrery.llm.repeats import remove_repeats
 from orrery.llm.toxicity import score_toxicity
 from orrery.llm.urls import judge_urls
@@ -27,6 +28,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.array_join(F.transform("reply_key", lambda step: F.array_join(step.cast("array<string>"), ":")), "/")
+    return link_quotations(_table(spark, sf_dir, "conversations")).withColumn("reply_key", key)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -71,6 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_pii": op5_pii,
