@@ -36,14 +36,14 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textkit
 from orrery.llm.jaccard import _release
-from orrery.llm.shared import parallel, settled
+from orrery.llm.shared import parallel, settled, small_batches
 
 SPAN, GRAM, BLOCK = 400, 150, 50
 #: Distinct snippets of an anchor that are merged in one task.
 MOST_VARIANTS = 512
 SHARDS = 4
-#: Snippet bytes merged at once.
-BATCH_BYTES = 1 << 20
+#: Snippet bytes merged at once, text bytes searched for anchors at once, and crowded snippets dealt at once.
+BATCH_BYTES, CHUNK_BYTES, DEAL_ROWS = 1 << 20, 1 << 20, 500
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -92,7 +92,7 @@ def _find_anchors(span: int, gram: int):
         for batch in batches:
             body, offsets = textkit.text_bytes(batch.column("text"))
             text = batch.column("row").to_numpy(zero_copy_only=False)
-            for lo, hi in textkit.row_chunks(offsets):
+            for lo, hi in textkit.row_chunks(offsets, CHUNK_BYTES):
                 row, key, *_ = anchors(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span, gram)
                 yield pa.record_batch({"key": pa.array(key.view(np.int64)), "row": pa.array(text[lo:hi][row], pa.int64())})
 
@@ -106,7 +106,7 @@ def _cut_snippets(span: int, gram: int):
         for batch in batches:
             body, offsets = textkit.text_bytes(batch.column("text"))
             text, keys = batch.column("row").to_pylist(), batch.column("keys")
-            for lo, hi in textkit.row_chunks(offsets):
+            for lo, hi in textkit.row_chunks(offsets, CHUNK_BYTES):
                 start = offsets[lo]
                 row, key, _, first, last = anchors(body[start : offsets[hi]], offsets[lo : hi + 1] - start, span, gram)
                 key = key.view(np.int64)
@@ -154,7 +154,14 @@ class Shard:
         self.ends = int(ends.sum())
         within = place - np.repeat(starts[:-1], np.diff(starts))
         before = np.where(within >= block, symbol[np.maximum(place - block, 0)], 0)
-        self.transform = before[self.order]
+        self.transform = before[self.order].astype(np.int32)
+
+
+def _stable_order(codes: np.ndarray) -> np.ndarray:
+    """argsort, stable, of codes under 2**32: two passes over 16 bits, which numpy sorts by radix."""
+    low = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (codes >> 16).astype(np.uint16)
+    return low[np.argsort(high[low], kind="stable")] if high.any() else low
 
 
 def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,22 +172,23 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     that start with those symbols by one symbol more.
     """
     size = sum(len(s.transform) for s in shards)
-    ends = np.repeat(np.arange(len(shards)), [s.ends for s in shards])
-    source = np.repeat(np.arange(len(shards)), [len(s.transform) for s in shards])
+    shard = np.arange(len(shards), dtype=np.uint16)
+    ends = np.repeat(shard, [s.ends for s in shards])
+    source = np.repeat(shard, [len(s.transform) for s in shards])
     symbols = np.concatenate([s.transform for s in shards])
-    group = np.zeros(size, np.int64)
-    common = np.full(size, rounds, np.int64)
+    group = np.zeros(size, np.int32)
+    common = np.full(size, rounds, np.int32)
     known = np.zeros(size, bool)
     for t in range(rounds):
         merged = np.empty(size, symbols.dtype)
         merged[np.argsort(source, kind="stable")] = symbols
-        deal = np.argsort(merged, kind="stable")[len(ends) :]
+        deal = _stable_order(merged)[len(ends) :]
         source = np.concatenate([ends, source[deal]])
         c, g = merged[deal], group[deal]
         fresh = np.concatenate([np.ones(len(ends), bool), np.append(True, (c[1:] != c[:-1]) | (g[1:] != g[:-1]))[: len(deal)]])
         common[fresh & ~known] = t
         known |= fresh
-        group = np.cumsum(fresh)
+        group = np.cumsum(fresh, dtype=np.int32)
     return source, common
 
 
@@ -252,7 +260,7 @@ _WINDOW = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<i8"), ("alone", "u
 
 def _deal_windows(span: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, DEAL_ROWS) for b in batches for at in range(0, b.num_rows, DEAL_ROWS)):
             made = []
             for row, first, alone, piece in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "alone", "bytes")), strict=True):
                 h = rolling(np.frombuffer(piece, np.uint8), span)
@@ -337,6 +345,7 @@ def remove_repeats(
     if span % block:
         raise ValueError("span must be a multiple of block")
     spark = docs.sparkSession
+    small_batches(spark)
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     body = body.withColumn("sha", F.sha2("text", 256)).withColumn("row", F.xxhash64("sha"))
     small = settled(body.select("doc_id", "row", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
