@@ -16,8 +16,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     longest path.  Lineage is cut after every round.
     """
     edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    last = None
-    while True:
+    while not _is_stars(edges):
         # Large star: each neighbour above a node links to the least of the node and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
@@ -26,7 +25,10 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = settled(edges.groupBy("u").agg(F.min("v").alias("m")))
         down = edges.join(least, "u")
         edges = settled(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == last:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        last = state
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Does every upper end have one edge, and is no lower end an upper one?"""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)").isEmpty()
