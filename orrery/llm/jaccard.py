@@ -41,7 +41,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import textkit
 from orrery.llm.graph import components
-from orrery.llm.shared import parallel, settled
+from orrery.llm.shared import parallel, settled, small_batches
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -50,8 +50,12 @@ THRESHOLD = 75
 BUCKET_TOKENS = 4_000_000
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
-#: Star rounds at most, and the pairs of a bucket pass that are few enough to test all.
-STAR_ROUNDS, FEW_PAIRS = 10, 1_000_000
+#: Star rounds at most, and the pairs for each prefix token that are few enough to test all.
+STAR_ROUNDS, FEW_PAIRS = 10, 4
+#: Rounds go on while more than this share of the tested pairs are links; then most pairs that are left aren't.
+PROGRESS = 0.1
+#: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
+BITS = 1024
 
 _DF_BITS = np.uint64(16)
 _MOST_DF = 65535
@@ -81,7 +85,8 @@ def shingle_sets(words: textkit.Words, size: int) -> Iterator[np.ndarray]:
 def node_of(tokens: np.ndarray) -> int:
     """The class of a set: a 64-bit hash of its tokens, as a signed long."""
     mixed = textkit.mix(tokens + np.uint64(len(tokens)))
-    return int(textkit.mix(np.array([mixed.sum(dtype=np.uint64) + np.bitwise_xor.reduce(mixed) * np.uint64(3)]))[0].astype(np.int64))
+    both = (int(mixed.sum(dtype=np.uint64)) + 3 * int(np.bitwise_xor.reduce(mixed))) % (1 << 64)
+    return int(textkit.mix(np.array([both], np.uint64)).view(np.int64)[0])
 
 
 def _describe(size: int):
@@ -240,6 +245,17 @@ def _repeated(node_parts: int):
     return run
 
 
+def _bitmap(words: np.ndarray) -> np.ndarray:
+    """Parities of a set's repeated tokens in BITS buckets.
+
+    Two sets of r and s such tokens whose bitmaps differ in h places share
+    (r + s - h) / 2 of them at most.
+    """
+    spread = textkit.mix((words >> _DF_BITS) + np.uint64(11)) % np.uint64(BITS)
+    parity = np.bincount(spread.astype(np.int64), minlength=BITS) & 1
+    return np.packbits(parity.astype(np.uint8)).view("<i8")
+
+
 def _profiles(threshold: int):
     """Nodes that can have partners: set size, and their repeated tokens in the first order."""
 
@@ -260,7 +276,8 @@ def _profiles(threshold: int):
             n = size[starts]
             can = np.flatnonzero(n - counts < prefix_length(n, threshold))
             blobs = [word[s : s + c].tobytes() for s, c in zip(starts[can], counts[can], strict=True)]
-            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary())})
+            bits = [_bitmap(word[s : s + c]) for s, c in zip(starts[can], counts[can], strict=True)]
+            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary()), "shared": pa.array(counts[can], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
 
     return run
 
@@ -314,8 +331,14 @@ def _verify(threshold: int):
 
 
 def verified(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of nodes."""
-    left = pairs.join(profiles.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
+    """The linked ones of pairs (a, b) of nodes; whole sets are only sent for pairs whose bitmaps allow the overlap."""
+    short = profiles.select("node", "n", "shared", "bits")
+    left = pairs.join(short.select(F.col("node").alias("a"), "n", F.col("shared").alias("r"), F.col("bits").alias("x")), "a")
+    both = left.join(short.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("s"), F.col("bits").alias("y")), "b")
+    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
+    can = (F.col("r") + F.col("s") - differ) * (100 + threshold) >= 2 * threshold * (F.col("n") + F.col("m"))
+    near = settled(both.where(can).select("a", "b"))
+    left = near.join(profiles.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
     both = left.join(profiles.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(_verify(threshold), "a long, b long")
 
@@ -338,11 +361,15 @@ def cross_pairs(rows: DataFrame) -> float:
 
 
 def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
-    """For each node one pivot, of another component, from the buckets it is in."""
+    """For each node the pivot of one of its buckets, if that is in another component.
+
+    Bucket and pivot are drawn by hash, so that alike sets mostly draw alike.
+    """
     draw = F.xxhash64("node", F.lit(seed))
-    pivots = settled(rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.*"))
-    met = rows.join(pivots, "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
-    return met.groupBy(F.col("node").alias("a")).agg(F.min(F.struct("draw", "b")).alias("best")).select("a", "best.b")
+    pivots = settled(rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to"))
+    chosen = settled(rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token", "n", "label")).alias("one")).select(F.col("node").alias("a"), "one.token", "one.n", "one.label"))
+    met = chosen.join(pivots, "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
+    return met.select("a", "b")
 
 
 def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS) -> DataFrame:
@@ -353,6 +380,7 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     alone = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     prefixes = settled(shared.join(settled(alone), "token"))
     labels = spark.createDataFrame([], "node long, label long")
+    few = few_pairs * prefixes.count()
 
     def labelled(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -364,13 +392,16 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     for step in range(star_rounds):
         rows = settled(labelled(prefixes))
         left = cross_pairs(rows)
-        if left <= (few_pairs if step else 0):
+        if left <= few:
             break
-        links = settled(verified(settled(_pivot_pairs(rows, step, threshold)), profiles, threshold))
-        if links.isEmpty() and step:
-            break
-        labels = merged(links)
+        tested = settled(_pivot_pairs(rows, step, threshold))
+        links = settled(verified(tested, profiles, threshold))
+        found = links.count()
+        if found:
+            labels = merged(links)
         _release(spark)
+        if found <= PROGRESS * tested.count():
+            break
     rows = settled(labelled(prefixes))
     a = rows.select("token", F.col("node").alias("a"), F.col("n"), F.col("place").alias("i"), F.col("label").alias("from"))
     b = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("label").alias("to"))
@@ -385,6 +416,7 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
 def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int, sample_rows: int, hot: int, star_rounds: int, few_pairs: int) -> DataFrame:
     """doc_id, text_key (a hash of the text), n, component_id of every row."""
     spark = docs.sparkSession
+    small_batches(spark)
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     body = body.withColumn("text_key", F.xxhash64("text"))
     sets = settled(body.mapInArrow(_describe(size), T.StructType([T.StructField("doc_id", body.schema["doc_id"].dataType), T.StructField("text_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.LongType())])))
@@ -400,7 +432,7 @@ def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int
         once = _dealt(known, list(known.classes.values()), list(known.classes), parts, parts)
         dealt = dealt.union(spark.createDataFrame(once.to_pandas(), "kind byte, part int, blob binary"))
     counted = dealt.repartition(parts, "part").mapInArrow(_repeated(parts), "part int, blob binary")
-    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary"))
+    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary, shared long, bits array<long>"))
     del dealt, counted
     _release(spark)
     labels = link_components(profiles, threshold, star_rounds, few_pairs)
