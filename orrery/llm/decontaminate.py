@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textkit
-from orrery.llm.shared import whole_row
+from orrery.llm.shared import small_batches, whole_row
 
 GRAM = 3
 
@@ -181,6 +181,7 @@ def decontaminate(
     ones are ignored, whatever they are called.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     bench = items.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.coalesce(F.col(f"`{item_text}`").cast("binary"), F.lit(b"")).alias("body"))
     bench = bench.withColumn("place", F.xxhash64("body", "id"))
     n_bytes = bench.agg(F.coalesce(F.sum(F.octet_length("body") + 64), F.lit(0)).alias("n")).first()["n"]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textkit
-from orrery.llm.shared import whole_row
+from orrery.llm.shared import small_batches, whole_row
 
 Span = tuple[int, int]
 
@@ -221,6 +221,7 @@ def find_pii(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", red
     base spans only.  Repeated rows each get a row, an empty table none.
     Columns beside the named ones are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     counted = rows.select("text").mapInArrow(_count_votes("text"), "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n")).orderBy("kind", "votes").collect()
     good = accepted([tuple(r) for r in counted])

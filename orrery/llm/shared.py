@@ -39,3 +39,10 @@ def whole_row(df: DataFrame) -> Column:
 
 def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def small_batches(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Bounds the session's Arrow batches by bytes: long texts would make batches of 10,000 rows large in JVM and Python at once."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > limit:
+        spark.conf.set(key, str(limit))

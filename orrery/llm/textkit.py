@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text worked on at once, so that a task's memory doesn't follow its batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -52,7 +52,7 @@ _powers: dict[int, np.ndarray] = {}
 def _power_table(base: int, n: int) -> np.ndarray:
     known = _powers.get(base)
     if known is None or len(known) < n:
-        size = max(n, 1 << 20 if known is None else 2 * len(known))
+        size = max(n, 2 * CHUNK_BYTES if known is None else 2 * len(known))
         known = np.full(size, np.uint64(base))
         known[0] = 1
         np.multiply.accumulate(known, out=known)

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textkit
-from orrery.llm.shared import whole_row
+from orrery.llm.shared import small_batches, whole_row
 
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1200
 SCOPE = 3
 STEMS = (4, 5, 6)
 #: Different surroundings in toxic sample texts that a lexicon entry needs.
@@ -231,6 +231,7 @@ def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows:
     rows = rows.select(text, toxic).collect()
     texts = pa.array([r[0] for r in rows], pa.large_string())
     y = np.array([r[1] for r in rows], np.int64)
+    del rows
     if len(set(y.tolist())) < 2:
         return Grammar(set(), set())
     grammar = Grammar(*learn_lexicon(texts, y))
@@ -266,6 +267,7 @@ def score_toxicity(
     toxic if one label says so.  Repeated rows each get a row, an empty table
     none.  Columns beside the named ones are ignored.
     """
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     seen = rows.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
