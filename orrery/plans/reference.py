@@ -155,9 +155,9 @@ def annual_dominant(spark, d):
     return temporal.annual_dominant(_months(spark, d))
 
 
-@query(f"WITH {MONTHS} SELECT b AS month, label, CAST(sum(n) AS BIGINT) AS n FROM bucket GROUP BY ROLLUP (b, label)")
+@query(f"WITH {MONTHS} SELECT coalesce(b, -1) AS month, coalesce(label, -1) AS label, CAST(sum(n) AS BIGINT) AS n FROM bucket GROUP BY ROLLUP (b, label)")
 def month_rollup(spark, d):
-    return temporal.month_rollup(_months(spark, d))
+    return temporal.month_rollup(_months(spark, d)).na.fill(-1, ["month", "label"])  # -1: all
 
 
 @query(f"WITH {ASSIGN}, f AS (SELECT DISTINCT file_id, {MONTH} AS month FROM assign) SELECT CAST(range AS INTEGER) AS month, count(file_id) AS files FROM range(1, 13) LEFT JOIN f ON month = range GROUP BY range")
