@@ -10,7 +10,8 @@ outputs, not its single words, are what is scored.
 
 The lexicon of insults is learned: words and word beginnings that stand in
 many different surroundings in toxic training texts and in (nearly) none of
-the others.  Output weights are a logistic regression on the same sample.
+the others; an entry then has to hold up in all training texts.  Output weights
+are a logistic regression on the same sample.
 Training rows are a bounded sample, about SAMPLE_ROWS of each class, chosen by
 a hash of their id; everything else reads all rows.
 """
@@ -35,7 +36,7 @@ SAMPLE_ROWS = 1200
 SCOPE = 3
 STEMS = (4, 5, 6)
 #: Different surroundings in toxic sample texts that a lexicon entry needs.
-SUPPORT = 8
+SUPPORT = 4
 #: Least share of an entry's surroundings that are toxic.
 PURITY = 0.97
 
@@ -95,6 +96,10 @@ class Grammar:
             return INSULT
         return self.closed.get(word, OTHER)
 
+    def entries(self, word: bytes) -> list[bytes]:
+        """The insult entries that a word matches."""
+        return [e for e in (word, *(word[:n] for n in STEMS if len(word) > n)) if e in (self.words if e is word else self.stems)]
+
     def candidates(self, kit: textkit.Words) -> np.ndarray:
         """Numbers of the words that are an insult or a threat."""
         hit = _among(kit.hashes(), self.known)
@@ -234,11 +239,40 @@ def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows:
     del rows
     if len(set(y.tolist())) < 2:
         return Grammar(set(), set())
-    grammar = Grammar(*learn_lexicon(texts, y))
+    grammar = Grammar(*pure_entries(docs, known, text, toxic, Grammar(*learn_lexicon(texts, y))))
     fit_weights(grammar, np.concatenate([grammar.counts(kit) for kit in _kits(texts)]), y)
     return grammar
 
 
+def _entries(shared, text: str):
+    """(doc_id, entry) of the lexicon entries in each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = shared.value
+        for batch in batches:
+            ids, found, at = [], [], 0
+            column = batch.column("doc_id")
+            for kit in _kits(batch.column(text)):
+                hits = {(int(kit.row[h]), e) for h in grammar.candidates(kit).tolist() for e in grammar.entries(kit.word(h))}
+                for r, e in sorted(hits):
+                    ids.append(column[at + r].as_py())
+                    found.append(e)
+                at += len(kit.counts)
+            yield pa.record_batch({"doc_id": pa.array(ids, column.type), "entry": pa.array(found, pa.binary())})
+
+    return run
+
+
+def pure_entries(docs: DataFrame, known: DataFrame, text: str, toxic: str, grammar: Grammar, purity: float = PURITY) -> tuple[set[bytes], set[bytes]]:
+    """The entries that hold up in all training texts, not the sample only: hardly any of the texts with one is clean."""
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)
+    schema = docs.select("doc_id", F.lit(b"").alias("entry")).schema
+    found = docs.select("doc_id", text).mapInArrow(_entries(shared, text), schema)
+    counts = found.join(known, found["doc_id"] == known["id"]).groupBy("entry").agg(F.sum(toxic).alias("bad"), F.count(F.lit(1)).alias("n")).collect()  # a row an entry
+    good = {bytes(r["entry"]) for r in counts if r["bad"] >= purity * r["n"]}
+    return grammar.words & good, grammar.stems & good
+
+
 def _score(shared, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = shared.value
