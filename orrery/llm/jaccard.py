@@ -22,9 +22,11 @@ How it is laid out:
   right as long as it is one), a hot class is sent once, from the sample.
 * Only components are asked for, so links inside a component needn't be tested
   again.  Rounds of stars come first: each bucket of a prefix token has a pivot,
-  and each node tests one pivot that isn't in its component yet.  When few pairs
-  of different components are left in the buckets, all of them are tested, with
-  length and positional filters.  No link between components is lost.
+  and each node tests the pivots of a few buckets that aren't known to be in its
+  component.  When
+  few pairs of different labels are left in the buckets, or few of the tested
+  ones are links, all pairs that are left are tested, with length and positional
+  filters and a bitmap bound.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -52,8 +54,10 @@ BUCKET_TOKENS = 4_000_000
 SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs for each prefix token that are few enough to test all.
 STAR_ROUNDS, FEW_PAIRS = 10, 4
+#: Buckets of a node that a round draws.
+DRAWN = 8
 #: Rounds go on while more than this share of the tested pairs are links; then most pairs that are left aren't.
-PROGRESS = 0.1
+PROGRESS = 0.02
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
 BITS = 1024
 
@@ -276,25 +280,9 @@ def _profiles(threshold: int):
             n = size[starts]
             can = np.flatnonzero(n - counts < prefix_length(n, threshold))
             blobs = [word[s : s + c].tobytes() for s, c in zip(starts[can], counts[can], strict=True)]
+            heads = [(word[s : s + p - (m - c)] >> _DF_BITS).astype(np.int64) for s, c, m, p in zip(starts[can], counts[can], n[can], prefix_length(n[can], threshold), strict=True)]
             bits = [_bitmap(word[s : s + c]) for s, c in zip(starts[can], counts[can], strict=True)]
-            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary()), "shared": pa.array(counts[can], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64()))})
-
-    return run
-
-
-def _prefix_rows(threshold: int):
-    """(token, node, n, place): the repeated tokens of each node's prefix in the first order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for node, n, blob in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "tokens")), strict=True):
-                words = np.frombuffer(blob, np.uint64)
-                alone = n - len(words)
-                head = words[: prefix_length(n, threshold) - alone] >> _DF_BITS
-                parts.append((head.astype(np.int64), np.full(len(head), node), np.full(len(head), n), alone + np.arange(len(head))))
-            columns = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4)]
-            yield pa.record_batch({k: pa.array(v, pa.int64()) for k, v in zip(("token", "node", "n", "place"), columns, strict=True)})
+            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary()), "shared": pa.array(counts[can], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "head": pa.array(heads, pa.list_(pa.int64()))})
 
     return run
 
@@ -330,19 +318,27 @@ def _verify(threshold: int):
     return run
 
 
+def _may_overlap(a: str, b: str, threshold: int):
+    """Do the bitmaps of two sides (structs n, shared, bits) allow the overlap that a link needs?"""
+    differ = F.lit(0)
+    for i in range(BITS // 64):
+        differ = differ + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
+    return (F.col(f"{a}.shared") + F.col(f"{b}.shared") - differ) * (100 + threshold) >= 2 * threshold * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+
+
 def verified(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
-    """The linked ones of pairs (a, b) of nodes; whole sets are only sent for pairs whose bitmaps allow the overlap."""
-    short = profiles.select("node", "n", "shared", "bits")
-    left = pairs.join(short.select(F.col("node").alias("a"), "n", F.col("shared").alias("r"), F.col("bits").alias("x")), "a")
-    both = left.join(short.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shared").alias("s"), F.col("bits").alias("y")), "b")
-    differ = sum((F.bit_count(F.col("x")[i].bitwiseXOR(F.col("y")[i])) for i in range(1, BITS // 64)), F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])))
-    can = (F.col("r") + F.col("s") - differ) * (100 + threshold) >= 2 * threshold * (F.col("n") + F.col("m"))
-    near = settled(both.where(can).select("a", "b"))
-    left = near.join(profiles.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
+    """The linked ones of pairs (a, b) of nodes; ``pairs`` should be those only whose bitmaps allow it."""
+    left = pairs.select("a", "b").join(profiles.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
     both = left.join(profiles.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("tokens").alias("y")), "b")
     return both.select("a", "b", "n", "x", "m", "y").mapInArrow(_verify(threshold), "a long, b long")
 
 
+def _likely(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose bitmaps allow a link."""
+    side = lambda node, name: profiles.select(F.col("node").alias(node), F.struct("n", "shared", "bits").alias(name))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_may_overlap("x", "y", threshold)).select(pairs.columns)
+
+
 def _release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
     gc.collect()
@@ -361,56 +357,70 @@ def cross_pairs(rows: DataFrame) -> float:
 
 
 def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
-    """For each node the pivot of one of its buckets, if that is in another component.
+    """For each node the pivots of DRAWN of its buckets that have other labels: (a, b, label, to).
 
-    Bucket and pivot are drawn by hash, so that alike sets mostly draw alike.
+    Buckets are drawn by hash, so that alike sets mostly draw alike, and so are
+    pivots among a bucket's nodes, so that large components are met most.
     """
-    draw = F.xxhash64("node", F.lit(seed))
-    pivots = settled(rows.groupBy("token").agg(F.min(F.struct(draw.alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to"))
-    chosen = settled(rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token", "n", "label")).alias("one")).select(F.col("node").alias("a"), "one.token", "one.n", "one.label"))
-    met = chosen.join(pivots, "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
-    return met.select("a", "b")
+    pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to")
+    drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token"))), 1, DRAWN)  # of one node's prefix
+    chosen = rows.groupBy(F.col("node").alias("a"), "n", "label").agg(drawn.alias("drawn")).select("a", "n", "label", F.explode("drawn.token").alias("token"))
+    met = settled(chosen).join(settled(pivots), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
+    return met.select("a", "b", "label", "to").distinct()
+
+
+def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Labels after the components of linked labels are joined."""
+    moved = settled(components(links.select("label", "to").distinct(), "label", "to").select(F.col("node").alias("child"), F.col("label").alias("parent")))
+    old = labels.join(moved, labels["label"] == moved["child"], "left").select("node", F.coalesce("parent", "label").alias("label"))
+    new = moved.join(labels, moved["child"] == labels["node"], "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("label"))
+    return settled(old.union(new))
 
 
 def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(node, label) of the nodes that have links; label is the component's least node."""
     spark = profiles.sparkSession
-    prefixes = profiles.mapInArrow(_prefix_rows(threshold), "token long, node long, n long, place long")
-    shared = settled(prefixes)
+    shared = settled(profiles.select("node", "n", F.posexplode("head").alias("at", "token"), "shared").select("token", "node", "n", (F.col("n") - F.col("shared") + F.col("at")).alias("place")))
     alone = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     prefixes = settled(shared.join(settled(alone), "token"))
     labels = spark.createDataFrame([], "node long, label long")
     few = few_pairs * prefixes.count()
 
     def labelled(rows: DataFrame) -> DataFrame:
-        return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-    def merged(links: DataFrame) -> DataFrame:
-        old = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a <> b")
-        return settled(components(links.union(old)))
+        return settled(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
 
+    every, rows = [], labelled(prefixes)
     for step in range(star_rounds):
-        rows = settled(labelled(prefixes))
-        left = cross_pairs(rows)
-        if left <= few:
+        if cross_pairs(rows) <= few:
             break
         tested = settled(_pivot_pairs(rows, step, threshold))
-        links = settled(verified(tested, profiles, threshold))
+        links = verified(settled(_likely(tested, profiles, threshold)), profiles, threshold)
+        links = settled(links.join(tested, ["a", "b"]))
         found = links.count()
         if found:
-            labels = merged(links)
+            every.append(links.select("a", "b"))
+            labels = _relabelled(links, labels)
+            rows = labelled(prefixes)
         _release(spark)
         if found <= PROGRESS * tested.count():
             break
-    rows = settled(labelled(prefixes))
-    a = rows.select("token", F.col("node").alias("a"), F.col("n"), F.col("place").alias("i"), F.col("label").alias("from"))
-    b = rows.select("token", F.col("node").alias("b"), F.col("n").alias("m"), F.col("place").alias("j"), F.col("label").alias("to"))
-    # What can still be shared from here on has to reach the needed overlap.  At a pair's first shared token it does, if they are linked.
-    need = F.ceil((F.col("n") + F.col("m")) * threshold / (100 + threshold))
-    reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    pairs = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.col("from") != F.col("to")) & _long_enough("n", "m", threshold) & (reach >= need))
-    links = settled(verified(settled(pairs.select("a", "b").distinct()), profiles, threshold))
-    return labels if links.isEmpty() else merged(links)
+    # Buckets of one label have nothing left to test.  Each pair is made once, at the first token that its prefixes share: from there
+    # on, what can be shared at most has to reach the needed overlap.
+    mixed = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
+    open_ = settled(rows.join(settled(mixed), "token"))
+    side = profiles.select("node", F.struct("n", "shared", "bits", "head").alias("set"))
+    open_ = settled(open_.join(side, "node"))
+    a = open_.select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("label").alias("from"), F.col("set").alias("x"))
+    b = open_.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("label").alias("to"), F.col("set").alias("y"))
+    n, m = F.col("x.n"), F.col("y.n")
+    far_enough = F.least(n - F.col("i"), m - F.col("j")) * (100 + threshold) >= (n + m) * threshold
+    first = F.array_intersect("x.head", "y.head")[0] == F.col("token")
+    alike = (F.col("a") < F.col("b")) & (F.col("from") != F.col("to")) & _long_enough("x.n", "y.n", threshold) & far_enough & _may_overlap("x", "y", threshold) & first
+    pairs = settled(a.join(b, "token").where(alike).select("a", "b"))
+    links = settled(verified(pairs, profiles, threshold))
+    for more in every:
+        links = links.union(more)
+    return settled(components(links))
 
 
 def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int, sample_rows: int, hot: int, star_rounds: int, few_pairs: int) -> DataFrame:
@@ -432,7 +442,7 @@ def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int
         once = _dealt(known, list(known.classes.values()), list(known.classes), parts, parts)
         dealt = dealt.union(spark.createDataFrame(once.to_pandas(), "kind byte, part int, blob binary"))
     counted = dealt.repartition(parts, "part").mapInArrow(_repeated(parts), "part int, blob binary")
-    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary, shared long, bits array<long>"))
+    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary, shared long, bits array<long>, head array<long>"))
     del dealt, counted
     _release(spark)
     labels = link_components(profiles, threshold, star_rounds, few_pairs)
