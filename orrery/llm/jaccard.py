@@ -48,8 +48,8 @@ from orrery.llm.shared import parallel, settled, small_batches
 SHINGLE = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-#: Tokens that one counting task sorts at once, about.
-BUCKET_TOKENS = 4_000_000
+#: Tokens that one counting task gets, about, and packed bytes of them that it sorts at once.
+BUCKET_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs for each prefix token that are few enough to test all.
@@ -218,7 +218,7 @@ def _dealt(hot: Hot, sets: list[np.ndarray], nodes: list[int], parts: int, hot_p
     return pa.record_batch({"kind": pa.array(out_kind, pa.int8()), "part": pa.array(out_part, pa.int32()), "blob": pa.array(out_blob, pa.binary())})
 
 
-def _repeated(node_parts: int):
+def _repeated(parts: int):
     """Of one task's tokens those that several nodes have, with their frequency, dealt by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,25 +230,38 @@ def _repeated(node_parts: int):
                 else:
                     by_part.setdefault(part, []).append(blob)
         for part in sorted(by_part):
-            unpacked = [_unpack(b) for b in by_part.pop(part)]
-            node, size, token = (np.concatenate([u[i] for u in unpacked]) for i in range(3))
-            order = np.lexsort((node, token))
-            node, size, token = node[order], size[order], token[order]
-            fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))
-            node, size, token = node[fresh], size[fresh], token[fresh]
-            starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            df = np.diff(np.append(starts, len(token)))
-            df = np.repeat(df, df)
-            many = df > 1
-            entries = np.empty(int(many.sum()), _ENTRY)
-            entries["node"], entries["size"] = node[many], size[many]
-            entries["token"] = (token[many] << _DF_BITS) | np.minimum(df[many], _HOT_DF - 1).astype(np.uint64)
-            if len(entries):
-                yield _deal_entries(entries, node_parts)
+            blobs = by_part.pop(part)
+            slices = max(1, sum(map(len, blobs)) // SLICE_BYTES)
+            for k in range(slices):
+                entries = _several(blobs, parts, slices, k)
+                if len(entries):
+                    yield _deal_entries(entries, parts)
 
     return run
 
 
+def _several(blobs: list[bytes], parts: int, slices: int, k: int) -> np.ndarray:
+    """The tokens of a slice of a part that several nodes have, as entries."""
+    kept = []
+    for blob in blobs:
+        node, size, token = _unpack(blob)
+        mine = (token // np.uint64(parts)) % np.uint64(slices) == k
+        kept.append((node[mine], size[mine], token[mine]))
+    node, size, token = (np.concatenate([u[i] for u in kept]) for i in range(3))
+    order = np.lexsort((node, token))
+    node, size, token = node[order], size[order], token[order]
+    fresh = np.append(True, (token[1:] != token[:-1]) | (node[1:] != node[:-1]))[: len(token)]
+    node, size, token = node[fresh], size[fresh], token[fresh]
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])[: len(token)])
+    df = np.diff(np.append(starts, len(token)))
+    df = np.repeat(df, df)
+    many = df > 1
+    entries = np.empty(int(many.sum()), _ENTRY)
+    entries["node"], entries["size"] = node[many], size[many]
+    entries["token"] = (token[many] << _DF_BITS) | np.minimum(df[many], _HOT_DF - 1).astype(np.uint64)
+    return entries
+
+
 def _bitmap(words: np.ndarray) -> np.ndarray:
     """Parities of a set's repeated tokens in BITS buckets.
 
