@@ -15,16 +15,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     many links is never gathered; rounds grow with the logarithm of the
     longest path.  Lineage is cut after every round.
     """
-    edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
+    edges = settled(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), True)
     while not _is_stars(edges):
         # Large star: each neighbour above a node links to the least of the node and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        edges = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), True)
+        edges = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), True)
         # Small star: a node and its neighbours below it link to the least of them.
-        least = settled(edges.groupBy("u").agg(F.min("v").alias("m")))
+        least = settled(edges.groupBy("u").agg(F.min("v").alias("m")), True)
         down = edges.join(least, "u")
-        edges = settled(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = settled(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), True)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

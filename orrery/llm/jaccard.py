@@ -378,16 +378,16 @@ def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
     pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to")
     drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token"))), 1, DRAWN)  # of one node's prefix
     chosen = rows.groupBy(F.col("node").alias("a"), "n", "label").agg(drawn.alias("drawn")).select("a", "n", "label", F.explode("drawn.token").alias("token"))
-    met = settled(chosen).join(settled(pivots), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
+    met = settled(chosen, True).join(settled(pivots, True), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
     return met.select("a", "b", "label", "to").distinct()
 
 
 def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels after the components of linked labels are joined."""
-    moved = settled(components(links.select("label", "to").distinct(), "label", "to").select(F.col("node").alias("child"), F.col("label").alias("parent")))
+    moved = settled(components(links.select("label", "to").distinct(), "label", "to").select(F.col("node").alias("child"), F.col("label").alias("parent")), True)
     old = labels.join(moved, labels["label"] == moved["child"], "left").select("node", F.coalesce("parent", "label").alias("label"))
     new = moved.join(labels, moved["child"] == labels["node"], "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("label"))
-    return settled(old.union(new))
+    return settled(old.union(new), True)
 
 
 def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS) -> DataFrame:
@@ -406,9 +406,9 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     for step in range(star_rounds):
         if cross_pairs(rows) <= few:
             break
-        tested = settled(_pivot_pairs(rows, step, threshold))
-        links = verified(settled(_likely(tested, profiles, threshold)), profiles, threshold)
-        links = settled(links.join(tested, ["a", "b"]))
+        tested = settled(_pivot_pairs(rows, step, threshold), True)
+        links = verified(settled(_likely(tested, profiles, threshold), True), profiles, threshold)
+        links = settled(links.join(tested, ["a", "b"]), True)
         found = links.count()
         if found:
             every.append(links.select("a", "b"))

@@ -25,8 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written as Parquet to the shared folder: lineage is cut, a lost executor takes nothing."""
+def settled(df: DataFrame, small: bool = False) -> DataFrame:
+    """The same rows, written as Parquet to the shared folder: lineage is cut, a lost executor takes nothing.
+
+    ``small`` tables (narrow, for a part of the input) are written by a sixteenth of the tasks.
+    """
+    if small:
+        df = df.coalesce(max(8, parallel(df.sparkSession) // 16))
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
