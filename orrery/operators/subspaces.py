@@ -195,6 +195,12 @@ def tiny_and_donors(counts: np.ndarray, least: int) -> list[tuple[int, int | Non
     return [(int(t), donors[i] if i < len(donors) else None) for i, t in enumerate(tiny)]
 
 
+def reseeding(spark: SparkSession, model: Model, cfg: FitConfig) -> DataFrame:
+    """(cluster, n, tiny, donor) of all clusters; donor is null where none is needed or left."""
+    donors = dict(tiny_and_donors(model.counts, cfg.least))
+    return spark.createDataFrame([(i, int(n), i in donors, donors.get(i)) for i, n in enumerate(model.counts)], "cluster int, n long, tiny boolean, donor int")
+
+
 def reseed(model: Model, fresh: np.ndarray, cfg: FitConfig) -> Model:
     """Splits donors along their first axis into themselves and a tiny cluster; without a donor a token takes its place."""
     drawn = 0

@@ -606,6 +606,14 @@ def subspace_variance(spark, d):
     return variance.decomposition(_fitted(spark, d)[1].rows(spark))
 
 
+@query()
+def subspace_reseeding(spark, d):
+    """Each cluster of a fit of all tokens, whether it is under the least size, and the donor it would be split from."""
+    tokens = X.tokens(spark, d).select("file_id", "cell_id", "features").persist()
+    cfg = FitConfig(clusters=TOKEN_K, dim=3, iters=8, seed=7)  # the least size is the config's own
+    return subspaces.reseeding(spark, subspaces.fit(tokens, cfg), cfg)
+
+
 @query()
 def kcenter_radius(spark, d):
     tokens = X.tokens(spark, d).select("file_id", "cell_id", "features").persist()

@@ -129,3 +129,16 @@ def test_holdout_and_radii(spark, fitted):
 def test_zero_eigenvalues_need_one_more_axis(spark):
     rows = spark.createDataFrame([(0, [9.0, 1.0]), (1, [1.0, 1.0, 1.0, 1.0]), (2, [0.0, 0.0])], "cluster int, eigvals array<double>")
     assert {r["cluster"]: r["d80"] for r in variance.effective_dims(rows).collect()} == {0: 1, 1: 4, 2: 3}
+
+
+def test_reseeding_query_counts_all_tokens(spark):
+    from orrery.plans.reference import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    got = {r["cluster"]: r for r in QUERIES["subspace_reseeding"](spark, d).collect()}
+    assert sum(r["n"] for r in got.values()) == spark.read.parquet(f"{d}/embeddings.parquet").count()
+    tiny = [c for c in sorted(got) if got[c]["n"] < 64]  # max(2 * dim, 64)
+    donors = sorted((c for c in got if got[c]["n"] >= 128), key=lambda c: (-got[c]["n"], c))
+    assert tiny and [c for c in sorted(got) if got[c]["tiny"]] == tiny
+    assert [got[c]["donor"] for c in tiny] == (donors + [None] * len(tiny))[: len(tiny)]
+    assert all(got[c]["donor"] is None for c in got if c not in tiny)
