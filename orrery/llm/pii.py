@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) are fixed patterns and always stay.  Beside
 them, wider candidates are voted on by labelers of three kinds: regex (shape),
-gazetteer (cue words, domain endings) and context (surroundings, composition).
+gazetteer (cue words) and context (surroundings, composition).
 A vote pattern is one of few, so all documents are counted into a small table
 of patterns; expectation-maximisation over that table estimates, for each kind,
 how common true spans are and how reliable each labeler is when it speaks.
@@ -35,7 +35,7 @@ BASE = {
 }
 #: Further kinds, listed after the base kinds.
 WIDE = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,128}(?![A-Za-z0-9_/+-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{12,}(?![A-Za-z0-9_/+-])"),
     "number": re.compile(r"(?<![\w+.@-])\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,18}(?![\w@])"),
 }
 CUES = {
@@ -99,16 +99,16 @@ def candidates(text: str, taken: list[Span]) -> Iterator[tuple[str, int, int]]:
         fresh = []
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(c in _DIGITS for c in m[0]) and not any(a < e and s < b for a, b in taken):
+            if not any(a < e and s < b for a, b in taken):
                 fresh.append((s, e))
                 yield kind, s, e
         taken = sorted(taken + fresh)
 
 
 def _rows_of_interest(column: pa.Array) -> np.ndarray:
-    """Rows with a digit or an at sign; no other row can hold a span."""
+    """Rows with a digit, an at sign, = or :; a candidate without digit and assignment has too many votes against it, so no other row can hold a span."""
     body, offsets = textkit.text_bytes(column)
-    hit = np.concatenate([[0], np.cumsum(((body >= 0x30) & (body <= 0x39)) | (body == 0x40))])
+    hit = np.concatenate([[0], np.cumsum(((body >= 0x30) & (body <= 0x3A)) | (body == 0x3D) | (body == 0x40))])
     return np.flatnonzero(np.diff(hit[offsets]))
 
 
@@ -117,8 +117,8 @@ def _count_votes(text: str):
         seen: Counter = Counter()
         for batch in batches:
             column = batch.column(text)
-            for r in _rows_of_interest(column).tolist():
-                t = column[r].as_py()
+            for value in column:
+                t = value.as_py() or ""
                 for kind, s, e in candidates(t, [x for v in base_spans(t).values() for x in v]):
                     seen[kind, votes(kind, t, s, e)] += 1
         kinds, patterns = zip(*seen, strict=True) if seen else ((), ())
@@ -147,12 +147,14 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[fl
     return prior, given, post
 
 
-def train(patterns: np.ndarray, n: np.ndarray, post: np.ndarray, rounds: int = 500) -> np.ndarray:
-    """Logistic model over one-hot votes (and a constant), fitted to the posteriors."""
+def train(patterns: np.ndarray, n: np.ndarray, post: np.ndarray, rounds: int = 50) -> np.ndarray:
+    """Logistic model over one-hot votes (and a constant), fitted to the posteriors by bounded Newton steps, so that rare patterns are fitted too."""
     x = _features(patterns)
-    w, share = np.zeros(x.shape[1]), n / n.sum()
+    w, ridge = np.zeros(x.shape[1]), 1e-3
     for _ in range(rounds):
-        w -= 4 * (x.T @ ((1 / (1 + np.exp(-(x @ w))) - post) * share) + 1e-4 * w)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        step = np.linalg.solve((x.T * (p * (1 - p) * n)) @ x + ridge * np.eye(len(w)), x.T @ ((post - p) * n) - ridge * w)
+        w += step * min(1, 2 / max(np.abs(step).max(), 1e-12))
     return w
 
 

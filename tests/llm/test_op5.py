@@ -61,3 +61,13 @@ def test_weak_labels_find_secrets(spark):
 def test_masks():
     assert masked("a b@c.d 1", [("email", 2, 7), ("number", 3, 9)]) == "a [EMAIL]"
     assert luhn("4918187128635271") and not luhn("4918187128635272")
+
+
+def test_long_and_letters_only_secrets(spark):
+    signature = "".join(hashlib.sha256(bytes([i])).hexdigest().replace("a", "K").replace("3", "-") for i in range(6))[:342]
+    new = {-1: (f'token = "{signature}"', signature), -2: ("login with password=correcthorsebatterystaple now", "correcthorsebatterystaple"), -3: ("well-established internationalization", None)}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(k, t) for k, (t, _) in new.items()], docs.schema))
+    for r in find_pii(docs, redact=False).where("doc_id < 0").collect():
+        text, secret = new[r["doc_id"]]
+        assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "secret"] == ([secret] if secret else [])
