@@ -6,7 +6,8 @@ lines are normalised (case, white space and outer punctuation don't count) and
 hashed; so are the whole own text, the paragraphs and the lines of every
 message.  A message replies to the nearest earlier message of its conversation
 whose text it quotes at the outermost level; where there is none there, to the
-only message anywhere that holds the passage.
+least (conv_id, turn) of other conversations that holds the passage; and where
+no message holds it at that level, likewise by the next deeper one.
 
 Replies order a conversation: a message that quotes an earlier one opens a
 branch under it, one without a quotation continues its predecessor's branch.
@@ -70,20 +71,24 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     rows = messages.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"), F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").cast("string").alias("body"))
     rows = settled(parse_quotes(rows, "body").drop("body"))
     placed = rows.where("conv_id is not null and turn is not null")
-    outer = F.filter("passages", lambda p: p["level"] == F.array_min(F.transform("passages", lambda q: q["level"])))
-    asked = placed.where(F.size("passages") > 0).select("conv_id", "turn", F.explode(F.flatten(F.transform(outer, lambda p: _pieces(p["text"])))).alias("piece"))
-    asked = settled(asked.select("conv_id", "turn", F.xxhash64("piece").alias("hash"), F.length("piece").alias("size")).distinct())
+    pieces = placed.where(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("passage"))
+    pieces = pieces.select("conv_id", "turn", "passage.level", F.explode(_pieces(F.col("passage.text"))).alias("piece"))
+    asked = settled(pieces.groupBy("conv_id", "turn", F.xxhash64("piece").alias("hash"), F.length("piece").alias("size")).agg(F.min("level").alias("level")))
     # Only pieces that somebody quotes are of interest; each is one row a message.
     held = placed.select("conv_id", "turn", F.explode(_pieces(F.col("own"))).alias("piece")).select("conv_id", "turn", F.xxhash64("piece").alias("hash"))
     held = settled(held.join(settled(asked.select("hash").distinct()), "hash", "left_semi").distinct())
     # The nearest earlier holder in the conversation: one running maximum over holders and askers together.
-    marks = held.select("conv_id", "hash", "turn", F.col("turn").alias("holder"), F.lit(None).cast("int").alias("size")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "size"))
+    marks = held.select("conv_id", "hash", "turn", F.col("turn").alias("holder"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("level")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "size", "level"))
     before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    near = marks.withColumn("from", F.max("holder").over(before)).where("size is not null and from is not null")
-    near = near.select("conv_id", "turn", F.col("conv_id").alias("reply_conv"), F.col("from").alias("reply_turn"), "size", F.lit(1).alias("rank"))
-    only = held.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("conv_id", "turn")).alias("one")).where("n = 1")
-    far = asked.join(only, "hash").where("one.conv_id <> conv_id").select("conv_id", "turn", F.col("one.conv_id").alias("reply_conv"), F.col("one.turn").alias("reply_turn"), "size", F.lit(0).alias("rank"))
-    best = near.union(far).groupBy("conv_id", "turn").agg(F.max(F.struct("rank", "size", "reply_turn", "reply_conv")).alias("best"))
+    found = settled(marks.withColumn("from", F.max("holder").over(before)).where("size is not null").drop("holder"))
+    near = found.where("from is not null").select("conv_id", "turn", "level", F.lit(0).alias("far"), (-F.col("size")).alias("size"), (-F.col("from")).alias("order"), F.col("conv_id").alias("reply_conv"), F.col("from").alias("reply_turn"))
+    # Elsewhere: the least holder of another conversation, which is among the first of the two least conversations.
+    first = held.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
+    two = first.withColumn("k", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).where("k <= 2")
+    two = two.select("hash", F.col("conv_id").alias("reply_conv"), F.col("turn").alias("reply_turn"))
+    far = found.where("from is null").join(two, "hash").where("reply_conv <> conv_id")
+    far = far.select("conv_id", "turn", "level", F.lit(1).alias("far"), (-F.col("size")).alias("size"), F.lit(0).cast("long").alias("order"), "reply_conv", "reply_turn")
+    best = near.union(far).groupBy("conv_id", "turn").agg(F.min(F.struct("level", "far", "size", "order", "reply_conv", "reply_turn")).alias("best"))
     links = settled(best.select("conv_id", "turn", "best.reply_conv", "best.reply_turn"))
     out = rows.join(links, ["conv_id", "turn"], "left")
     paths = settled(_branch_paths(links))

@@ -63,3 +63,25 @@ def test_query_and_empty(spark):
     d = "/root/testdata/sf0.001"
     assert QUERIES["op2_quotation_linking"](spark, d).count() == spark.read.parquet(f"{d}/conversations.parquet").count()
     assert link_quotations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_deeper_levels_and_several_holders(spark):
+    rows = [
+        (4, 0, "user", "The exact text of an earlier message"),
+        (4, 1, "assistant", "Short"),
+        (4, 2, "user", "> Bob wrote:\n>> the exact text of an earlier message\nFine."),
+        (4, 3, "user", "> edited away\n>> short\n>>> the exact text of an earlier message\nFine too."),
+        (4, 4, "user", ">> the exact text of an earlier message\n> short\nOuter first."),
+        (9, 0, "user", "x"),
+        (9, 1, "user", "copied original"),
+        (7, 3, "user", "copied original"),
+        (7, 1, "user", "copied original"),
+        (8, 0, "user", "> copied original\nWho?"),
+        (6, 0, "user", "> copied original\nAnd before its own."),
+        (6, 1, "user", "copied original"),
+        (3, 0, "user", "> copied original\nOnly later here."),
+        (3, 1, "user", "copied original"),
+    ]
+    got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("reply_turn is not null")
+    reply = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in got.collect()}
+    assert reply == {(4, 2): (4, 0), (4, 3): (4, 1), (4, 4): (4, 1), (8, 0): (3, 1), (6, 0): (3, 1), (3, 0): (6, 1)}
