@@ -1,13 +1,15 @@
 """License scans: exact phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line of a document, a template a notice; both are sets of words.
-A block meets a template if it holds at least CONTAINMENT of the template's
-words.  Template words are ordered by how many documents hold them, rarest
-first; a block that meets a template of n words, of which it needs m, must hold
-one of the n - m + 1 rarest (prefix filter), must have m words (length filter),
-and after the first shared word, at place p of the template, can share n - p at
-most (positional filter).  Blocks are joined with prefix words only, and pairs
-that are left are verified on the whole sets.
+A template is a notice.  A block is a window of consecutive words, WINDOW times
+as long as the notice, of a document (line breaks don't count) or, where lines
+are asked for, of one of its lines; both are sets of words.  A block meets a
+template if it holds at least CONTAINMENT of the template's words.  Template
+words are ordered by how many documents hold them, rarest first; a block that
+meets a template of n words, of which it needs m, must hold one of the n - m + 1
+rarest (prefix filter), and after the first shared word, at place p of the
+template, can share n - p at most (positional filter).  So only the windows
+around prefix words are looked at: all windows that hold one, after the words
+around it have been found to be enough.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ TEMPLATES = {
     "public-domain": "this work is released into the public domain",
 }
 CONTAINMENT = 0.8
+#: A notice is met within so many times its own number of words.
+WINDOW = 2
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
@@ -70,41 +74,52 @@ def _places(phrase: str) -> Column:
 
 
 def template_prefixes(scanned: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
-    """label, token, place, need, size, words: the prefix of each template in the order of document frequencies."""
+    """label, token, place, need, size, words, window: the prefix of each template in the order of document frequencies."""
     seen = scanned.select(F.explode("vocabulary").alias("token"))
     counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
     rows = []
     for label, notice in templates.items():
         words = sorted(set(notice.split()), key=lambda w: (counts.get(w, 0), w))
         need = -(-len(words) * round(containment * 100) // 100)
-        rows += [(label, w, place, need, len(words), words) for place, w in enumerate(words[: len(words) - need + 1])]
-    return scanned.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>")
+        rows += [(label, w, place, need, len(words), words, WINDOW * len(notice.split())) for place, w in enumerate(words[: len(words) - need + 1])]
+    return scanned.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>, window int")
 
 
-def match_templates(docs: DataFrame, text: str, prefixes: DataFrame) -> DataFrame:
+def match_templates(docs: DataFrame, text: str, prefixes: DataFrame, across_lines: bool) -> DataFrame:
     """(text_key, label, share) of the texts that hold a block meeting a template."""
-    tokens = sorted({r["token"] for r in prefixes.select("token").collect()})
+    known = prefixes.select("token", "window").collect()  # a few words a template
+    tokens, reach = sorted({r["token"] for r in known}), max((r["window"] for r in known), default=1) - 1
     holds_token = _any_of(tokens)
     # Texts and lines without any prefix word are dropped before words are taken.
     body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("lower", F.lower("text")).where(F.col("lower").rlike(holds_token))
-    lines = body.select(F.md5("text").alias("text_key"), F.explode(F.split("lower", "\n")).alias("line")).where(F.col("line").rlike(holds_token))
-    blocks = lines.select("text_key", F.array_distinct(_words(F.col("line"))).alias("block"))
-    keyed = blocks.select("text_key", "block", F.explode(F.array_intersect("block", _strings(tokens))).alias("token"))
-    pairs = keyed.join(F.broadcast(prefixes), "token")  # bounded: the templates are part of the code
-    pairs = pairs.where((F.size("block") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-    shared = F.size(F.array_intersect("block", "words"))
+    if across_lines:
+        parts = body.select(F.md5("text").alias("text_key"), F.col("lower").alias("part"))
+    else:
+        parts = body.select(F.md5("text").alias("text_key"), F.explode(F.split("lower", "\n")).alias("part")).where(F.col("part").rlike(holds_token))
+    # Each prefix word with the words around it, as far as the longest window can reach.
+    least = lambda i: F.greatest(i - reach, F.lit(0))
+    places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(tokens), i)), lambda i: i.isNotNull())
+    keyed = parts.select("text_key", _words(F.col("part")).alias("words"))
+    keyed = keyed.select("text_key", F.explode(F.transform(places, lambda i: F.struct(F.get("words", i).alias("token"), (i - least(i)).alias("at"), F.slice("words", least(i) + 1, F.lit(2 * reach + 1)).alias("near")))).alias("hit"))
+    pairs = keyed.select("text_key", "hit.*").join(F.broadcast(prefixes), "token")  # bounded: the templates are part of the code
+    pairs = pairs.where(F.col("size") - F.col("place") >= F.col("need"))
+    start = F.greatest(F.col("at") - F.col("window") + 1, F.lit(0))
+    near = F.slice("near", start + 1, F.col("at") - start + F.col("window"))
+    pairs = pairs.where(F.size(F.array_intersect(near, "words")) >= F.col("need"))
+    shared = F.array_max(F.transform(F.sequence(start, F.col("at")), lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("window")), "words"))))
     return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).groupBy("text_key", "label").agg(F.max(F.col("shared") / F.col("size")).alias("share"))
 
 
 def scan_licenses(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, carry: bool = False
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, carry: bool = False, across_lines: bool = False
 ) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score.
 
     A null or empty text has no words, no places and score 0.  The score is 1
     for a phrase, else the best template containment that meets the threshold,
-    else 0.  Repeated rows each get a row; an empty table gives none.  Columns
-    beside the named ones are ignored.
+    else 0.  With ``across_lines`` a notice may be wrapped, without it has to stand
+    on one line.  Repeated rows each get a row; an empty table gives none.
+    Columns beside the named ones are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
@@ -122,7 +137,7 @@ def scan_licenses(
     )
     out = out if carry else settled(out)  # small without the texts, and read twice
     if templates:
-        met = match_templates(docs, text, template_prefixes(out, templates, containment))
+        met = match_templates(docs, text, template_prefixes(out, templates, containment), across_lines)
         met = met.groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # a label a template at most
         out = out.join(settled(met), "text_key", "left")
     else:

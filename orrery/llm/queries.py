@@ -65,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(_table(spark, sf_dir, "documents"))
+    found = scan_licenses(_table(spark, sf_dir, "documents"), across_lines=True)
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 

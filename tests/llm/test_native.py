@@ -149,3 +149,32 @@ def test_url_model_matches_plain_computation(spark):
     assert len(got) == 20
     for r in got:
         assert abs(r["score"] - score(urls[r["page_id"]])) < 1e-5
+
+
+def test_license_windows(spark, tmp_path):
+    from orrery.llm.licenses import TEMPLATES
+
+    texts = {
+        "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that": ["bsd"],
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy": ["mpl-2.0"],
+        "released " + "w " * 40 + "under the " + "w " * 40 + "mit license": [],
+        "released under the MIT License " + "w " * 3000 + "released under": ["mit"],
+        "w\n" * 30 + "permission is hereby granted, free of charge,\n\n" + "to any person obtaining a copy\n" + "of software": ["mit-grant"],
+        "no notice": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == [",".join(v) for v in texts.values()]
+
+    def brute(text):
+        words = ALNUM.findall(fold(text))
+        return sorted(k for k, s in TEMPLATES.items() for n in [2 * len(s.split())] if any(5 * len(set(words[i : i + n]) & set(s.split())) >= 4 * len(set(s.split())) for i in range(len(words))))
+
+    import random
+
+    rng = random.Random(3)
+    pool = [" ".join(w for w in s.split() for _ in range(rng.choice([0, 1, 1, 1, 1]))) for s in [*TEMPLATES.values()] * 3] + ["w " * n for n in range(1, 12)]
+    more = ["\n".join(rng.choice(pool) + " w" * rng.randrange(9) for _ in range(6)) for _ in range(60)]
+    found = scan_licenses(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), across_lines=True)
+    assert {r["doc_id"]: sorted(set(r["labels"]) - set(r["base_labels"])) for r in found.collect()} == {i: [k for k in brute(t) if k not in PHRASES.values()] for i, t in enumerate(more)}
