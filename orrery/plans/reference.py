@@ -606,6 +606,40 @@ def subspace_variance(spark, d):
     return variance.decomposition(_fitted(spark, d)[1].rows(spark))
 
 
+@query()
+def subspace_evr(spark, d):
+    return variance.weighted_evr(_fitted(spark, d)[1].rows(spark))
+
+
+@query()
+def subspace_d80(spark, d):
+    return variance.effective_dims(_fitted(spark, d)[1].rows(spark))
+
+
+@query()
+def subspace_d80_summary(spark, d):
+    return variance.dims_summary(subspace_d80(spark, d))
+
+
+@query()
+def subspace_verdict(spark, d):
+    """The fit of the even files, judged on the odd ones."""
+    tokens = X.tokens(spark, d).select("file_id", "cell_id", "features").persist()
+    model = subspaces.fit(tokens.where("file_id % 2 = 0"), CONFIG)
+    found = holdout.evaluate(tokens.where("file_id % 2 = 1"), model, model.rows(spark)).select("held_out", "in_sample")
+    return variance.verdicts(found)
+
+
+@query()
+def sampled_runs(spark, d):
+    """Runs of three file samples, two of them of one seed, by the fingerprint of what they sample."""
+    runs = None
+    for name, seed in (("a", 7), ("b", 8), ("c", 7)):
+        one = sampling.fingerprint(sampling.sample_files(_assign(spark, d), 100, seed), X.CELLS, None).select(F.lit(name).alias("name"), "fingerprint")
+        runs = runs.union(one) if runs else one
+    return compare.comparable_runs(runs)
+
+
 @query()
 def subspace_reseeding(spark, d):
     """Each cluster of a fit of all tokens, whether it is under the least size, and the donor it would be split from."""

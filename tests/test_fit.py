@@ -142,3 +142,19 @@ def test_reseeding_query_counts_all_tokens(spark):
     assert tiny and [c for c in sorted(got) if got[c]["tiny"]] == tiny
     assert [got[c]["donor"] for c in tiny] == (donors + [None] * len(tiny))[: len(tiny)]
     assert all(got[c]["donor"] is None for c in got if c not in tiny)
+
+
+def test_fitted_queries_follow_the_table(spark):
+    from orrery.plans import reference
+
+    d = "/root/testdata/sf0.01"
+    model = reference._fitted(spark, d)[1]
+    run = lambda name: reference.QUERIES[name](spark, d).collect()
+    cum = np.cumsum(model.eigvals, axis=1) / np.maximum(model.eigvals.sum(axis=1, keepdims=True), 1e-12)
+    dims = [int((c < 0.8).sum()) + 1 for c in cum]
+    assert [r["d80"] for r in sorted(run("subspace_d80"))] == dims
+    assert tuple(run("subspace_d80_summary")[0]) == (min(dims), sorted(dims)[(len(dims) - 1) // 2], max(dims))
+    assert run("subspace_evr")[0]["evr"] == pytest.approx((model.counts * model.evr).sum() / model.counts.sum())
+    (found,) = run("subspace_verdict")
+    assert 0 < found["in_sample"] < 1 and found["gap"] == pytest.approx(found["held_out"] - found["in_sample"]) and found["verdict"] == ("overfit" if found["gap"] > variance.GAP else "generalizes")
+    assert sorted((r["runs"], r["names"]) for r in run("sampled_runs")) == [(1, "b"), (2, "a,c")]
