@@ -173,10 +173,9 @@ def learn_lexicon(texts: pa.Array, toxic: np.ndarray, support: int = SUPPORT, pu
         hashes = kit.hashes()
         around = textkit.mix(np.append(np.uint64(0), hashes[:-1]) * np.uint64(3) + np.append(hashes[1:], np.uint64(0)))
         bad = toxic[row + kit.row] > 0
-        long = np.flatnonzero(kit.end - kit.start >= STEMS[0])
-        stems = [np.where(kit.end[long] - kit.start[long] > n, kit.hashes_of(kit.start[long], np.minimum(kit.start[long] + n, kit.end[long])), 0) for n in STEMS]
-        parts.append(np.stack([hashes[long], around[long], bad[long].astype(np.uint64), *stems]))
-        for i in long[bad[long]].tolist():
+        stems = [np.where(kit.end - kit.start > n, kit.hashes_of(kit.start, np.minimum(kit.start + n, kit.end)), 0) for n in STEMS]
+        parts.append(np.stack([hashes, around, bad.astype(np.uint64), *stems]))
+        for i in np.flatnonzero(bad).tolist():
             spelled.setdefault(int(hashes[i]), kit.word(i))
         row += len(kit.counts)
     if not parts:

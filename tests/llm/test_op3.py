@@ -62,3 +62,14 @@ def test_edges(spark):
         got = score_toxicity(docs, labels, carry=True).collect()
         assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     assert score_toxicity(docs.limit(0), odd).count() == 0
+
+
+def test_short_insults_are_learned():
+    import numpy as np
+
+    from orrery.llm.toxicity import learn_lexicon
+
+    texts = [f"word{i} zut other{i} and so" for i in range(12)] + [f"word{i} fine other{i} and so" for i in range(12)] + [f"left{i} 猪 right{i} so" for i in range(12)]
+    toxic = np.array([1] * 12 + [0] * 12 + [1] * 12)
+    words, _ = learn_lexicon(pa.array(texts, pa.large_string()), toxic)
+    assert {b"zut", "猪".encode()} <= words and not words & {b"and", b"so", b"fine"}
