@@ -1,46 +1,48 @@
 """Toxicity as a weighted finite-state pattern grammar.
 
-Four small transducers read the words of a clause: a lexicon maps words to the
-classes insult, threat, target, negation and reported speech; a negation
-transducer marks insults and threats that follow a negation within SCOPE
-words; a report transducer marks those after a verb of saying; a target
-transducer marks those in a clause that has addressed someone.  They are
-composed into one table (state, class) -> (state, output), and a clause's
-outputs, not its single words, are what is scored.
+A lexicon maps the words of a clause to classes.  Five small transducers read
+these in series: negation marks insults and threats that follow a negation
+within SCOPE words, reported speech those after a verb of saying, target those
+in a clause that has addressed someone; insult and threat write an output by
+the marks.  They are composed into one table (state, class) -> (state, output),
+and a clause's outputs, not its single words, are what is scored.
 
 The lexicon of insults is learned: words and word beginnings that stand in
 many different surroundings in toxic training texts and in (nearly) none of
 the others; an entry then has to hold up in all training texts.  Output weights
 are a logistic regression on the same sample.
-Training rows are a bounded sample, about SAMPLE_ROWS of each class, chosen by
-a hash of their id; everything else reads all rows.
+Training rows are a bounded sample, about SAMPLE_ROWS of each class and
+SAMPLE_BYTES in all, chosen by a hash of their id; everything else reads all rows.
 """
 
 from __future__ import annotations
 
 import itertools
-import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm import textkit
-from orrery.llm.shared import small_batches, whole_row
+from orrery.llm.shared import settled, small_batches, whole_row
 
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS, SAMPLE_BYTES = 1200, 32 << 20
 SCOPE = 3
 STEMS = (4, 5, 6)
 #: Different surroundings in toxic sample texts that a lexicon entry needs.
 SUPPORT = 4
 #: Least share of an entry's surroundings that are toxic.
 PURITY = 0.97
+#: Pull of the output weights to their centre, and the highest log-odds of a text without any clause.
+RIDGE, MOST_BIAS = 1e-3, -0.25
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
+CLAIMS = (INSULT, THREAT)
 
 # Closed-class words of the four languages.
 CLOSED = {
@@ -51,22 +53,71 @@ CLOSED = {
 }
 
 
-def compose() -> tuple[dict[tuple, dict[int, tuple]], list[str]]:
-    """The product machine: state (words left in a negation's scope, reported, targeted) -> class -> (state, output)."""
+class Symbol(NamedTuple):
+    """What travels from one transducer to the next: a word's class and the marks that it has got."""
+
+    kind: int
+    mode: str = "asserted"
+    targeted: bool = False
+
+
+class Transducer(NamedTuple):
+    """A finite-state machine: start state, and (state, symbol) -> (state, symbol or output name); states are tuples, () if there is but one."""
+
+    start: tuple
+    step: Callable[[tuple, Symbol], tuple[tuple, Symbol | str]]
+
+
+def _negation(state: tuple, s: Symbol) -> tuple[tuple, Symbol]:
+    """Marks what follows a negation within SCOPE words."""
+    (left,) = state
+    return ((SCOPE,) if s.kind == NEGATION else (max(left - 1, 0),)), (s._replace(mode="negated") if left and s.kind in CLAIMS else s)
+
+
+def _reported_speech(state: tuple, s: Symbol) -> tuple[tuple, Symbol]:
+    """Marks what follows a verb of saying, unless it is negated."""
+    (open_,) = state
+    return (open_ or s.kind == REPORT,), (s._replace(mode="reported") if open_ and s.kind in CLAIMS and s.mode == "asserted" else s)
+
+
+def _target(state: tuple, s: Symbol) -> tuple[tuple, Symbol]:
+    """Marks what follows someone who is addressed or spoken of."""
+    (met,) = state
+    return (met or s.kind == TARGET,), (s._replace(targeted=True) if met and s.kind in CLAIMS else s)
+
+
+def _writer(kind: int, name: str) -> Transducer:
+    """Writes an output for each symbol of a kind, by its marks, and lets others through."""
+    return Transducer((), lambda state, s: (state, f"{name}_{'targeted' if s.targeted else 'plain'}_{s.mode}" if s.kind == kind else s))
+
+
+CASCADE = (Transducer((0,), _negation), Transducer((False,), _reported_speech), Transducer((False,), _target), _writer(INSULT, "insult"), _writer(THREAT, "threat"))
+
+
+def compose(machines: tuple[Transducer, ...] = CASCADE) -> tuple[dict[tuple, dict[int, tuple]], list[str]]:
+    """The product of transducers that read each other's symbols: reachable state -> class -> (state, output number or None), and the outputs."""
+    outputs = [f"{kind}_{to}_{mode}" for kind in ("insult", "threat") for to in ("plain", "targeted") for mode in ("asserted", "negated", "reported")]
+    number = {n: i for i, n in enumerate(outputs)}
+    flat = lambda states: tuple(itertools.chain.from_iterable(states))
+    start = tuple(m.start for m in machines)
     table: dict[tuple, dict[int, tuple]] = {}
-    names = [f"{kind}_{to}_{mode}" for kind in ("insult", "threat") for to in ("plain", "targeted") for mode in ("asserted", "negated", "reported")]
-    number = {n: i for i, n in enumerate(names)}
-    for left, reported, targeted in itertools.product(range(SCOPE + 1), (False, True), (False, True)):
-        row = {}
-        for symbol in range(6):
-            to = (SCOPE if symbol == NEGATION else max(left - 1, 0), reported or symbol == REPORT, targeted or symbol == TARGET)
-            out = None
-            if symbol in (INSULT, THREAT):
-                mode = "negated" if left else "reported" if reported else "asserted"
-                out = number[f"{'insult' if symbol == INSULT else 'threat'}_{'targeted' if targeted else 'plain'}_{mode}"]
-            row[symbol] = (to, out)
-        table[left, reported, targeted] = row
-    return table, names
+    waiting = [start]
+    while waiting:
+        states = waiting.pop()
+        if flat(states) in table:
+            continue
+        row = table[flat(states)] = {}
+        for kind in range(OTHER + 1):
+            symbol, to = Symbol(kind), []
+            for machine, state in zip(machines, states, strict=True):
+                if isinstance(symbol, str):  # an output has been written: nothing is left to read
+                    to.append(state)
+                    continue
+                after, symbol = machine.step(state, symbol)
+                to.append(after)
+            row[kind] = (flat(to), number[symbol] if isinstance(symbol, str) else None)
+            waiting.append(tuple(to))
+    return table, outputs
 
 
 class Grammar:
@@ -209,30 +260,65 @@ def learn_lexicon(texts: pa.Array, toxic: np.ndarray, support: int = SUPPORT, pu
     return words, found
 
 
-def fit_weights(grammar: Grammar, counts: np.ndarray, toxic: np.ndarray, rounds: int = 400) -> None:
-    """Logistic regression on log1p counts, both classes of equal weight, weights not below zero for asserted outputs."""
-    x, y = np.log1p(counts), toxic.astype(float)
+def fit_weights(grammar: Grammar, counts: np.ndarray, toxic: np.ndarray, ridge: float = RIDGE, tolerance: float = 1e-8, most_rounds: int = 200) -> None:
+    """Logistic regression on log1p counts, both classes of equal weight, by Newton's method with a halved step.
+
+    The ridge pulls weights to where a single asserted clause is enough and a
+    negated or reported one is not, which holds for outputs that the sample
+    doesn't have.  A text without any clause scores under 0.5, whatever the sample.
+    """
+    x, y = np.log1p(counts), (toxic > 0).astype(float)
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    w, b = np.zeros(x.shape[1]), 0.0
-    for name, k in zip(grammar.outputs, range(len(w)), strict=True):
-        w[k] = 1.0 if name.endswith("asserted") else 0.3  # where the sample says nothing, asserted clauses weigh more
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g = (p - y) * share
-        w -= 20 * (x.T @ g + 1e-4 * w)
-        b -= 20 * g.sum()
-    grammar.weights, grammar.bias = w, float(b)
-
-
-def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows: int) -> Grammar:
-    """A grammar from a bounded sample: of each class about ``sample_rows`` rows, by a hash of doc_id."""
-    sizes = {r[toxic]: r["count"] for r in known.where(~held_out(F.col("id"))).groupBy(toxic).count().collect()}
-    limit = F.create_map(*[F.lit(x) for label, n in sizes.items() for x in (label, float(sample_rows) / n)]) if sizes else None
-    if not sizes or len(sizes) < 2:
-        return Grammar(set(), set())
-    chosen = known.where(F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) < limit[F.col(toxic)] * float(1 << 30))
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["id"])  # about two samples of ids
-    rows = rows.select(text, toxic).collect()
+    centre = np.array([2.0 if n.endswith("asserted") else 0.3 for n in grammar.outputs] + [-1.0])
+
+    def solve(free: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The minimum over the free coordinates: a strictly convex function, so the step always goes down until it is reached."""
+
+        def loss(v: np.ndarray) -> float:
+            z = x @ v
+            return float(share @ (np.logaddexp(0, z) - y * z) + ridge / 2 * ((v - centre) ** 2).sum())
+
+        for _ in range(most_rounds):
+            p = 0.5 * (1 + np.tanh(0.5 * (x @ w)))
+            slope = (x.T @ ((p - y) * share) + ridge * (w - centre))[free]
+            if np.abs(slope).max(initial=0) <= tolerance:
+                return w
+            curve = ((x.T * (p * (1 - p) * share)) @ x + ridge * np.eye(len(w)))[np.ix_(free, free)]
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve(curve, slope)
+            size, now = 1.0, loss(w)
+            while loss(w - size * step) > now - 1e-4 * size * float(slope @ step[free]) and size > 1e-9:
+                size /= 2
+            w = w - size * step
+        raise ArithmeticError("the grammar's weights did not converge")
+
+    every = np.arange(len(centre))
+    w = solve(every, centre.copy())
+    if w[-1] > MOST_BIAS:
+        w[-1] = MOST_BIAS
+        w = solve(every[:-1], w)
+    grammar.weights, grammar.bias = w[:-1], float(w[-1])
+
+
+def _sample(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows: int, sample_bytes: int) -> list:
+    """(text, label) of about ``sample_rows`` rows of each class by a hash of doc_id, one a doc_id, of ``sample_bytes`` in all at most."""
+    sizes = {r[toxic]: r["count"] for r in known.where(~held_out(F.col("id"))).groupBy(toxic).count().collect()}  # two rows
+    if len(sizes) < 2:
+        return []
+    limit = F.when(F.col(toxic) == 1, float(sample_rows) / sizes[1]).otherwise(float(sample_rows) / sizes[0])
+    drawn = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30))
+    chosen = known.where(drawn < limit * float(1 << 30)).select("id", toxic, drawn.alias("drawn"))
+    # Texts that alone are over the bound can't be in the sample; of a repeated doc_id one text is.
+    rows = docs.where(F.octet_length(text) <= sample_bytes).join(F.broadcast(chosen), docs["doc_id"] == chosen["id"])  # about two samples of ids
+    rows = settled(rows.groupBy("id", toxic, "drawn").agg(F.min(text).alias(text)), True)
+    upto = F.sum(F.octet_length(text)).over(Window.orderBy("drawn", "id"))  # over the sample's rows
+    return rows.withColumn("upto", upto).where(F.col("upto") <= sample_bytes).select(text, toxic).collect()
+
+
+def train(docs: DataFrame, known: DataFrame, text: str, toxic: str, sample_rows: int, sample_bytes: int = SAMPLE_BYTES) -> Grammar:
+    """A grammar from a bounded sample of both classes; without one its lexicon is empty and its base score low."""
+    rows = _sample(docs, known, text, toxic, sample_rows, sample_bytes)
     texts = pa.array([r[0] for r in rows], pa.large_string())
     y = np.array([r[1] for r in rows], np.int64)
     del rows
@@ -301,7 +387,7 @@ def score_toxicity(
     none.  Columns beside the named ones are ignored.
     """
     small_batches(docs.sparkSession)
-    known = labels.select(F.col(f"`{label_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
+    known = labels.select(F.col(f"`{label_id}`").alias("id"), (F.col(f"`{toxic}`").cast("int") > 0).cast("int").alias("toxic")).where("id is not null and toxic is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     seen = rows.where(~held_out(F.col("doc_id"))).select("doc_id", "text")
     grammar = train(seen, known, "text", "toxic", sample_rows)

@@ -73,3 +73,49 @@ def test_short_insults_are_learned():
     toxic = np.array([1] * 12 + [0] * 12 + [1] * 12)
     words, _ = learn_lexicon(pa.array(texts, pa.large_string()), toxic)
     assert {b"zut", "猪".encode()} <= words and not words & {b"and", b"so", b"fine"}
+
+
+def test_fit_converges_whatever_the_sample():
+    """The base score stays under 0.5, a hit goes over it, and more rounds change nothing."""
+    import numpy as np
+
+    from orrery.llm.toxicity import fit_weights
+
+    hit = Grammar(set(), set()).outputs.index("insult_plain_asserted")
+    negated = Grammar(set(), set()).outputs.index("insult_plain_negated")
+    for n_toxic in (0, 1, 9, 10, 100, 1000):
+        for found in {0, 1, n_toxic // 2, n_toxic}:
+            for wrong in (0, 1, 40):
+                counts = np.zeros((n_toxic + 80, 12))
+                counts[: min(found, n_toxic), hit] = 1
+                counts[n_toxic : n_toxic + wrong, negated] = 1
+                y = np.array([1] * n_toxic + [0] * 80)
+                scores = []
+                for rounds in (199, 200, 201):
+                    g = Grammar(set(), set())
+                    fit_weights(g, counts, y, most_rounds=rounds)
+                    scores.append(g.score(np.stack([np.zeros(12), np.eye(12)[hit], np.eye(12)[negated]])))
+                base, asserted, denied = scores[0]
+                assert base < 0.5 and denied < 0.5 and (asserted >= 0.5 or not min(found, n_toxic)), (n_toxic, found, wrong, scores[0])
+                assert np.abs(scores[0] - scores[1]).max() < 1e-6 and np.abs(scores[0] - scores[2]).max() < 1e-6
+
+
+def test_few_toxic_labels(spark):
+    """With 0, 1, 9 or 100 toxic rows no clean document is rejected; with enough of them the toxic ones are."""
+    for n in (0, 1, 9, 100):
+        rows = [(i, f"w{i} moron z{i} and some words of number {i}" if i <= n else f"w{i} fine z{i} and some words of number {i}") for i in range(1, 301)]
+        docs = spark.createDataFrame(rows + rows[:3] * 40, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, int(i <= n)) for i in range(1, 301)], "doc_id long, toxic int")
+        got = {r["doc_id"]: r for r in score_toxicity(docs, labels).collect()}
+        assert not any(got[i]["predicted"] for i in range(n + 1, 301))
+        if n >= 9:
+            assert all(got[i]["predicted"] for i in range(1, n + 1))
+
+
+def test_sample_is_bounded(spark):
+    from orrery.llm.toxicity import _sample
+
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(40)] + [(1, "again " * 90)] * 200 + [(41, "x" * 9000)], "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(42)], "id long, toxic int")
+    assert len(_sample(docs, known, "text", "toxic", 1000, 5000)) == 10
+    assert len(_sample(docs, known, "text", "toxic", 1000, 1 << 20)) == 41
