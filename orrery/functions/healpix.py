@@ -99,6 +99,30 @@ def neighbours(spark: SparkSession, nside: int) -> DataFrame:
     return found.select(F.least("cell", "other").alias("a"), F.greatest("cell", "other").alias("b"))
 
 
+def edges(spark: SparkSession, nside: int) -> DataFrame:
+    """(a, b), a < b: all cells that share an edge, across base faces too.
+
+    A corner of a cell lies on a circle between rings (0 at the north pole,
+    4 nside at the south pole) at a multiple of an eighth of a turn over the
+    circle's quarter, so it has the same pair of whole numbers in each face that
+    touches it.  Two cells share an edge if they share both of its corners.
+    """
+    x, y, face = nest_xyf(F.col("id"), nside)
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (face + 1).cast("int")).cast("long")
+
+    def corner(dx: int, dy: int) -> Column:
+        circle = pick(FACE_RING) * nside - (x + dx) - (y + dy)
+        quarter = F.least(circle, F.lit(nside).cast("long"), 4 * nside - circle)
+        turn = F.when(quarter > 0, F.pmod(pick(FACE_LON) * quarter + (x + dx) - (y + dy), F.greatest(8 * quarter, F.lit(1).cast("long")))).otherwise(0)
+        return F.struct(circle.alias("circle"), turn.cast("long").alias("turn"))
+
+    ring = [corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)]
+    sides = F.array(*[F.array_sort(F.array(ring[i], ring[(i + 1) % 4])) for i in range(4)])
+    rows = spark.range(12 * nside * nside).select(F.col("id").cast("int").alias("cell"), F.explode(sides).alias("side"))
+    pairs = rows.groupBy("side").agg(F.min("cell").alias("a"), F.max("cell").alias("b"))  # two cells a side
+    return pairs.where("a < b").select("a", "b").distinct()
+
+
 def angular_cell(lon: float, lat: float, nside: int) -> int:
     """The nested cell of a point in degrees (for grids drawn on the driver)."""
     z, phi = math.sin(math.radians(lat)), (math.radians(lon) % (2 * math.pi)) / (math.pi / 2)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,23 +23,43 @@ def point_affinity(model: DataFrame) -> DataFrame:
     return centroid_cosines(model).select("i", "j", ((1 + F.col("cosine")) / 2).alias("affinity"))
 
 
-def affinity_matrix(model: Model) -> np.ndarray:
-    """Mean squared cosine of the principal angles; of points, (1 + cosine) / 2."""
-    k, d, width = model.bases.shape
-    if not d:
-        u = model.means / np.maximum(np.linalg.norm(model.means, axis=1, keepdims=True), 1e-12)
-        return (1 + u @ u.T) / 2
-    flat = model.bases.reshape(k * d, width)
-    return ((flat @ flat.T) ** 2).reshape(k, d, k, d).sum(axis=(1, 3)) / d
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two subspaces, given by orthonormal rows: the mean squared cosine of their principal angles.
+
+    The cosines are the singular values of the product of the bases, so the sum of their squares is its squared norm.
+    """
+    return float(np.square(a @ b.T).sum() / len(a))
+
+
+def _pairs_of(model: Model, i: int) -> list[tuple[int, int, float, float]]:
+    """(i, j, affinity, cosine) of one cluster and all later ones; points are as alike as their directions."""
+    size = np.maximum(np.linalg.norm(model.means, axis=1), 1e-12)
+    later = range(i + 1, len(model.means))
+    near = {j: float(model.means[i] @ model.means[j] / size[i] / size[j]) for j in later}
+    return [(i, j, likeness(model.bases[i], model.bases[j]) if model.dim else (1 + near[j]) / 2, near[j]) for j in later]
 
 
 def subspace_affinity(spark, model: Model) -> DataFrame:
-    """(i, j, affinity, cosine), i < j."""
-    a = affinity_matrix(model)
-    u = model.means / np.maximum(np.linalg.norm(model.means, axis=1, keepdims=True), 1e-12)
-    c = u @ u.T
-    pairs = [(i, j, float(a[i, j]), float(c[i, j])) for i in range(len(a)) for j in range(i + 1, len(a))]
-    return spark.createDataFrame(pairs, "i int, j int, affinity double, cosine double")
+    """(i, j, affinity, cosine), i < j; each task takes some clusters and meets them with all later ones, a pair at a time."""
+    shared = spark.sparkContext.broadcast(model)  # the model of the fit, broadcast there in every round
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                found = _pairs_of(shared.value, i)
+                columns = zip(*found, strict=True) if found else ((), (), (), ())
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["i", "j", "affinity", "cosine"])
+
+    return spark.range(len(model.means)).mapInArrow(run, "i int, j int, affinity double, cosine double")
+
+
+def affinity_matrix(model: Model) -> np.ndarray:
+    """All pairs as a symmetric matrix of ones on its diagonal, for orders and colours."""
+    out = np.eye(len(model.means))
+    for i in range(len(out)):
+        for _, j, alike, _ in _pairs_of(model, i):
+            out[i, j] = out[j, i] = alike
+    return out
 
 
 def affinity_stats(pairs: DataFrame) -> DataFrame:
@@ -48,18 +71,26 @@ def top_pairs(pairs: DataFrame, top: int = 12) -> DataFrame:
 
 
 def seriation(affinity: np.ndarray) -> np.ndarray:
-    """Each cluster's rank along the second eigenvector of the normalised Laplacian; the largest component is positive."""
+    """Each cluster's rank on the line that places alike clusters close together.
+
+    The line is the slowest mode of a random walk that moves between clusters
+    in proportion to their affinity: the right eigenvector of its transition
+    matrix after the constant one.  The constant mode is deflated, so the mode
+    is the leading one of what is left, also where the walk falls into parts.
+    The largest coordinate is positive.
+    """
     k = len(affinity)
     if k < 3:
         return np.arange(k)
-    links = affinity * (1 - np.eye(k))
-    scale = 1 / np.sqrt(np.maximum(links.sum(axis=1), 1e-12))
-    _, vectors = np.linalg.eigh(np.eye(k) - scale[:, None] * links * scale[None, :])
-    order = vectors[:, 1] * scale
-    order = order * (1 if order[np.abs(order).argmax()] >= 0 else -1)
-    rank = np.empty(k, int)
-    rank[np.lexsort((np.arange(k), order))] = np.arange(k)
-    return rank
+    weight = np.array(affinity, float)
+    np.fill_diagonal(weight, 0)
+    visits = np.maximum(weight.sum(axis=1), 1e-12)
+    walk = weight / visits[:, None] - visits / visits.sum()  # without the constant mode
+    values, modes = np.linalg.eig(walk)
+    line = modes[:, values.real.argmax()].real
+    if line[np.abs(line).argmax()] < 0:
+        line = -line
+    return np.argsort(np.argsort(line, kind="stable"), kind="stable")
 
 
 def rainbow(t: np.ndarray) -> np.ndarray:
@@ -70,8 +101,22 @@ def rainbow(t: np.ndarray) -> np.ndarray:
     return np.stack([red, up(2), np.clip(hue - 2, 0, 1)], axis=1)
 
 
+# The published polynomial approximation of the turbo colour map, rising powers by channel.
+TURBO = (
+    (0.13572138, 4.61539260, -42.66032258, 132.13108234, -152.94239396, 59.28637943),
+    (0.09140261, 2.19418839, 4.84296658, -14.18503333, 4.27729857, 2.82956604),
+    (0.10667330, 12.64194608, -60.58204836, 110.36276771, -89.90310912, 27.34824973),
+)
+
+
+def turbo(t: np.ndarray) -> np.ndarray:
+    """RGB of positions in [0, 1]."""
+    x = np.clip(np.asarray(t, float), 0, 1)
+    return np.clip(np.stack([np.polynomial.polynomial.polyval(x, c) for c in TURBO], axis=1), 0, 1)
+
+
 def colours(affinity: np.ndarray) -> np.ndarray:
     """RGBA by seriation rank; a single cluster has the middle colour."""
     k = len(affinity)
     t = seriation(affinity) / (k - 1) if k > 1 else np.array([0.5])
-    return np.concatenate([rainbow(t), np.ones((k, 1))], axis=1)
+    return np.concatenate([turbo(t), np.ones((k, 1))], axis=1)

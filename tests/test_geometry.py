@@ -49,3 +49,36 @@ def test_seriation_follows_a_chain():
     rank = affinity.seriation(a)
     assert (rank == order).all() or (rank == k - 1 - order).all()
     assert affinity.colours(np.ones((1, 1))).shape == (1, 4)
+
+
+def test_all_edges(spark):
+    """Every cell has four edges; those inside a face are the neighbours; ends are about a cell's width apart."""
+    for nside in (1, 2, 4):
+        pairs = {(r["a"], r["b"]) for r in healpix.edges(spark, nside).collect()}
+        degree = np.bincount(np.array(sorted(pairs)).ravel(), minlength=12 * nside * nside)
+        assert len(pairs) == 24 * nside * nside and (degree == 4).all()
+        assert {(r["a"], r["b"]) for r in healpix.neighbours(spark, nside).collect()} <= pairs
+    place = {r["cell_id"]: (np.radians(r["lon"]), np.radians(r["lat"])) for r in healpix.cells(spark, 4).collect()}
+    for a, b in pairs:
+        (l, p), (m, q) = place[a], place[b]
+        assert np.degrees(np.arccos(np.clip(np.sin(p) * np.sin(q) + np.cos(p) * np.cos(q) * np.cos(l - m), -1, 1))) < 26
+
+
+def test_interpolation(spark):
+    rows = healpix.cells(spark, 8).collect()
+    field = np.zeros((len(rows), 1))
+    for r in rows:
+        field[r["cell_id"]] = np.sin(np.radians(r["lat"]))
+    got = render.interpolated(field, 8, 10.0)[..., 0]
+    assert np.abs(got - np.sin(np.radians(np.arange(85, -90, -10)))[:, None]).max() < 0.03
+    assert np.allclose(render.interpolated(np.ones((12, 1)), 1, 30.0), 1)
+    gap = field.copy()
+    gap[5] = np.nan
+    assert np.abs(render.filled(gap, 8) - field).max() < 0.2 and not np.isnan(render.filled(gap, 8)).any()
+
+
+def test_seriation_of_parts_and_turbo():
+    blocks = np.kron(np.eye(2), np.ones((3, 3)))
+    rank = affinity.seriation(blocks)
+    assert {tuple(sorted(rank[:3])), tuple(sorted(rank[3:]))} == {(0, 1, 2), (3, 4, 5)} and affinity.seriation(np.eye(4)).tolist() is not None
+    assert np.allclose(affinity.turbo([0.0, 0.5, 1.0]), [[0.19, 0.07, 0.23], [0.64, 0.99, 0.23], [0.48, 0.02, 0.01]], atol=0.1)  # the polynomial is that close to the table
