@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import settled
+from orrery.llm.shared import forget, settled
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -20,11 +20,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: each neighbour above a node links to the least of the node and its neighbours.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = settled(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), True)
-        edges = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), True)
+        large = settled(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), True)
+        forget(edges, least)
         # Small star: a node and its neighbours below it link to the least of them.
-        least = settled(edges.groupBy("u").agg(F.min("v").alias("m")), True)
-        down = edges.join(least, "u")
+        least = settled(large.groupBy("u").agg(F.min("v").alias("m")), True)
+        down = large.join(least, "u")
         edges = settled(down.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), True)
+        forget(large, least)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

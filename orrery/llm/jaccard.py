@@ -8,8 +8,9 @@ with all repeated tokens equal, each with its own hash order among equals.
 Tokens that only one set has come first in all of them, so a set whose prefix is
 made up of such tokens has no partner and is never looked at again; the others
 are candidates where they share a prefix token of the first order, if their
-prefixes overlap in every other order as well (the filters intersect), and
-what is left is verified on the whole sets.
+prefixes can overlap in every other order as well (the filters intersect as
+pairs are made, by bitmaps of the prefixes, and exactly before a pair is
+verified), and what is left is verified on the whole sets.
 
 How it is laid out:
 
@@ -21,17 +22,16 @@ How it is laid out:
   be repeated, and its sample count places it behind all others (any order is
   right as long as it is one), a hot class is sent once, from the sample.
 * Only components are asked for, so links inside a component needn't be tested
-  again.  Rounds of stars come first: each bucket of a prefix token has a pivot,
-  and each node tests the pivots of a few buckets that aren't known to be in its
-  component.  When
-  few pairs of different labels are left in the buckets, or few of the tested
-  ones are links, all pairs that are left are tested, with length and positional
-  filters and a bitmap bound.  No link between components is lost.
+  again.  Rounds of stars come first, while they save more pairs than they cost:
+  each bucket of a prefix token has a pivot, and each node tests the pivots of a
+  few buckets that aren't known to be in its component; then linked labels become
+  one and buckets of a single label are dropped.  All pairs of different labels
+  that are left are tested, with length, positional and bitmap filters.  No
+  link between components is lost.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 from collections.abc import Iterator
 
@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import textkit
 from orrery.llm.graph import components
-from orrery.llm.shared import parallel, settled, small_batches
+from orrery.llm.shared import forget, parallel, release, settled, small_batches
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -52,14 +52,15 @@ THRESHOLD = 75
 BUCKET_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
-#: Star rounds at most, and the pairs for each prefix token that are few enough to test all.
-STAR_ROUNDS, FEW_PAIRS = 10, 4
+#: Star rounds at most, and the pairs whose test takes as long as a round takes for one row (a pair is some xors in a
+#: join's inner loop, a row goes through several shuffles).
+STAR_ROUNDS, FEW_PAIRS = 10, 64
 #: Buckets of a node that a round draws.
 DRAWN = 8
-#: Rounds go on while more than this share of the tested pairs are links; then most pairs that are left aren't.
-PROGRESS = 0.02
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
 BITS = 1024
+#: Places of the bitmaps that tell whether prefixes of the other orders can share a token.
+PREFIX_BITS = 512
 
 _DF_BITS = np.uint64(16)
 _MOST_DF = 65535
@@ -273,6 +274,16 @@ def _bitmap(words: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8)).view("<i8")
 
 
+def _prefix_bits(words: np.ndarray, length: int) -> np.ndarray:
+    """Which of PREFIX_BITS places the ``length`` first tokens of the second and of the third order fall into."""
+    out = np.zeros(2 * PREFIX_BITS, np.uint8)
+    for order, keys in enumerate(_other_orders(words)):
+        least = np.argpartition(keys, length - 1)[:length] if length < len(keys) else slice(None)
+        spread = textkit.mix((words[least] >> _DF_BITS) + np.uint64(29)) % np.uint64(PREFIX_BITS)
+        out[order * PREFIX_BITS + spread.astype(np.int64)] = 1
+    return np.packbits(out).view("<i8")
+
+
 def _profiles(threshold: int):
     """Nodes that can have partners: set size, and their repeated tokens in the first order."""
 
@@ -295,7 +306,8 @@ def _profiles(threshold: int):
             blobs = [word[s : s + c].tobytes() for s, c in zip(starts[can], counts[can], strict=True)]
             heads = [(word[s : s + p - (m - c)] >> _DF_BITS).astype(np.int64) for s, c, m, p in zip(starts[can], counts[can], n[can], prefix_length(n[can], threshold), strict=True)]
             bits = [_bitmap(word[s : s + c]) for s, c in zip(starts[can], counts[can], strict=True)]
-            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary()), "shared": pa.array(counts[can], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "head": pa.array(heads, pa.list_(pa.int64()))})
+            others = [_prefix_bits(word[s : s + c], p - (m - c)) for s, c, m, p in zip(starts[can], counts[can], n[can], prefix_length(n[can], threshold), strict=True)]
+            yield pa.record_batch({"node": pa.array(node[starts[can]], pa.int64()), "n": pa.array(n[can], pa.int64()), "tokens": pa.array(blobs, pa.binary()), "shared": pa.array(counts[can], pa.int64()), "bits": pa.array(bits, pa.list_(pa.int64())), "others": pa.array(others, pa.list_(pa.int64())), "head": pa.array(heads, pa.list_(pa.int64()))})
 
     return run
 
@@ -339,6 +351,18 @@ def _may_overlap(a: str, b: str, threshold: int):
     return (F.col(f"{a}.shared") + F.col(f"{b}.shared") - differ) * (100 + threshold) >= 2 * threshold * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
 
+def _may_share_prefixes(a: str, b: str):
+    """Can the prefixes of two sides have a token in common in each of the other orders?  Both orders' filters are met before a pair is made."""
+    width = PREFIX_BITS // 64
+    met = F.lit(True)
+    for order in range(2):
+        common = F.lit(0).cast("long")
+        for i in range(order * width, (order + 1) * width):
+            common = common.bitwiseOR(F.col(f"{a}.others")[i].bitwiseAND(F.col(f"{b}.others")[i]))
+        met = met & (common != 0)
+    return met
+
+
 def verified(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
     """The linked ones of pairs (a, b) of nodes; ``pairs`` should be those only whose bitmaps allow it."""
     left = pairs.select("a", "b").join(profiles.select(F.col("node").alias("a"), "n", F.col("tokens").alias("x")), "a")
@@ -352,12 +376,6 @@ def _likely(pairs: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(_may_overlap("x", "y", threshold)).select(pairs.columns)
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _long_enough(n: str, m: str, threshold: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
 
@@ -382,55 +400,75 @@ def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
     return met.select("a", "b", "label", "to").distinct()
 
 
-def _relabelled(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labels after the components of linked labels are joined."""
-    moved = settled(components(links.select("label", "to").distinct(), "label", "to").select(F.col("node").alias("child"), F.col("label").alias("parent")), True)
-    old = labels.join(moved, labels["label"] == moved["child"], "left").select("node", F.coalesce("parent", "label").alias("label"))
-    new = moved.join(labels, moved["child"] == labels["node"], "left_anti").select(F.col("child").alias("node"), F.col("parent").alias("label"))
-    return settled(old.union(new), True)
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets of several labels: the others have nothing left to test."""
+    mixed = settled(rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token"), True)
+    return rows.join(mixed, "token", "left_semi")
+
+
+def _contracted(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """The open rows after linked labels have become one; only rows whose label moves are touched."""
+    moved = settled(components(links.select("label", "to").distinct(), "label", "to").where("node <> label").select(F.col("node").alias("label"), F.col("label").alias("parent")), True)
+    stay = rows.join(moved, "label", "left_anti").select(rows.columns)
+    go = rows.join(moved, "label").withColumn("label", F.col("parent")).select(rows.columns)
+    return settled(_open(settled(stay.union(go))))
+
+
+def candidate_pairs(rows: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of all pairs of different labels that the filters leave, each once.
+
+    The smaller set of a pair has the first shared prefix token among its first
+    n - ceil(2 t n / (1 + t)) + 1 tokens (its index prefix), the larger one
+    anywhere in its prefix.  A pair comes from that token only, if the
+    prefixes of the other orders can share a token too, and if sizes, places
+    and bitmaps allow the overlap.  The most common label of a bucket
+    never meets itself, so a bucket costs what its pairs of different labels do.
+    """
+    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    major = settled(by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most")).select("token", F.col("most.label").alias("major")))
+    side = profiles.select("node", F.struct("n", "shared", "bits", "others", "head").alias("set"))
+    placed = settled(rows.join(major, "token").join(side, "node").withColumn("minor", F.col("label") != F.col("major")).drop("major"))
+    larger = placed.select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("label").alias("from"), F.col("set").alias("x"), F.col("minor").alias("a_minor"))
+    smaller = placed.where((F.col("n") - F.col("place")) * (100 + threshold) >= 2 * threshold * F.col("n"))
+    smaller = smaller.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("label").alias("to"), F.col("set").alias("y"), F.col("minor").alias("b_minor"))
+    n, m = F.col("x.n"), F.col("y.n")
+    in_order = (m < n) | ((m == n) & (F.col("a") < F.col("b")))
+    far_enough = F.least(n - F.col("i"), m - F.col("j")) * (100 + threshold) >= (n + m) * threshold
+    first = F.array_intersect("x.head", "y.head")[0] == F.col("token")
+    alike = (F.col("from") != F.col("to")) & in_order & _long_enough("x.n", "y.n", threshold) & far_enough & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold) & first
+    met = larger.join(smaller.where("b_minor"), "token").where(alike).select("a", "b")
+    met = met.union(larger.where("a_minor").join(smaller.where("not b_minor"), "token").where(alike).select("a", "b"))
+    pairs = settled(met)
+    forget(placed, major)
+    return pairs
 
 
 def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR_ROUNDS, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """(node, label) of the nodes that have links; label is the component's least node."""
     spark = profiles.sparkSession
     shared = settled(profiles.select("node", "n", F.posexplode("head").alias("at", "token"), "shared").select("token", "node", "n", (F.col("n") - F.col("shared") + F.col("at")).alias("place")))
-    alone = shared.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    prefixes = settled(shared.join(settled(alone), "token"))
-    labels = spark.createDataFrame([], "node long, label long")
-    few = few_pairs * prefixes.count()
-
-    def labelled(rows: DataFrame) -> DataFrame:
-        return settled(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-
-    every, rows = [], labelled(prefixes)
+    rows = settled(_open(shared.withColumn("label", F.col("node"))))
+    forget(shared)
+    every, gain = [], None
+    left = cross_pairs(rows)
     for step in range(star_rounds):
-        if cross_pairs(rows) <= few:
+        # A round costs about as much as testing few_pairs pairs for each row; it has to be worth that.
+        worth = few_pairs * rows.count()
+        if left <= worth or (gain is not None and gain <= worth):
             break
         tested = settled(_pivot_pairs(rows, step, threshold), True)
-        links = verified(settled(_likely(tested, profiles, threshold), True), profiles, threshold)
-        links = settled(links.join(tested, ["a", "b"]), True)
-        found = links.count()
-        if found:
+        likely = settled(_likely(tested, profiles, threshold), True)
+        links = settled(verified(likely, profiles, threshold).join(tested, ["a", "b"]), True)
+        if not links.isEmpty():
             every.append(links.select("a", "b"))
-            labels = _relabelled(links, labels)
-            rows = labelled(prefixes)
-        _release(spark)
-        if found <= PROGRESS * tested.count():
-            break
-    # Buckets of one label have nothing left to test.  Each pair is made once, at the first token that its prefixes share: from there
-    # on, what can be shared at most has to reach the needed overlap.
-    mixed = rows.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
-    open_ = settled(rows.join(settled(mixed), "token"))
-    side = profiles.select("node", F.struct("n", "shared", "bits", "head").alias("set"))
-    open_ = settled(open_.join(side, "node"))
-    a = open_.select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("label").alias("from"), F.col("set").alias("x"))
-    b = open_.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("label").alias("to"), F.col("set").alias("y"))
-    n, m = F.col("x.n"), F.col("y.n")
-    far_enough = F.least(n - F.col("i"), m - F.col("j")) * (100 + threshold) >= (n + m) * threshold
-    first = F.array_intersect("x.head", "y.head")[0] == F.col("token")
-    alike = (F.col("a") < F.col("b")) & (F.col("from") != F.col("to")) & _long_enough("x.n", "y.n", threshold) & far_enough & _may_overlap("x", "y", threshold) & first
-    pairs = settled(a.join(b, "token").where(alike).select("a", "b"))
+            before, rows = rows, _contracted(rows, links)
+            forget(before)
+        forget(tested, likely)
+        release(spark)
+        gain, left = left - (now := cross_pairs(rows)), now
+    pairs = candidate_pairs(rows, profiles, threshold)
     links = settled(verified(pairs, profiles, threshold))
+    forget(rows, pairs)
     for more in every:
         links = links.union(more)
     return settled(components(links))
@@ -455,9 +493,9 @@ def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int
         once = _dealt(known, list(known.classes.values()), list(known.classes), parts, parts)
         dealt = dealt.union(spark.createDataFrame(once.to_pandas(), "kind byte, part int, blob binary"))
     counted = dealt.repartition(parts, "part").mapInArrow(_repeated(parts), "part int, blob binary")
-    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary, shared long, bits array<long>, head array<long>"))
+    profiles = settled(counted.repartition(parts, "part").mapInArrow(_profiles(threshold), "node long, n long, tokens binary, shared long, bits array<long>, others array<long>, head array<long>"))
     del dealt, counted
-    _release(spark)
+    release(spark)
     labels = link_components(profiles, threshold, star_rounds, few_pairs)
     classes = settled(sets.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("least")))
     grouped = settled(classes.join(labels, "node").groupBy("label").agg(F.min("least").alias("component")))

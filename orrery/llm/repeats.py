@@ -1,24 +1,27 @@
 """Exact removal of long repeated passages with merged Burrows-Wheeler transforms.
 
 A byte goes if a string of SPAN bytes that covers it also starts elsewhere.
+The same pass tells which bytes shorter strings, of PASSAGE bytes (about fifty
+words), cover that also start elsewhere; these are counted, not removed.
 
-1. Anchors.  Among the GRAM-byte strings in a window of SPAN bytes, the one
+1. Anchors.  Among the GRAM-byte strings in a window of PASSAGE bytes, the one
    with the least hash is the window's anchor; equal windows have equal
-   anchors.  There is an anchor about every (SPAN - GRAM) / 2 bytes, and only
+   anchors.  There is an anchor about every (PASSAGE - GRAM) / 2 bytes, and only
    windows whose anchor occurs twice can repeat.
-2. Snippets.  The windows of one anchor occurrence are consecutive; they and
-   their bytes are a snippet.  Snippets that occur twice as a whole are
-   resolved by counting.
+2. Snippets.  Consecutive windows of one anchor, with SPAN bytes from the last
+   of them on, are a snippet (in pieces of at most PIECE windows, so that periodic
+   text, whose anchors are all alike, makes few and bounded ones).  Snippets
+   that occur twice as a whole are resolved by counting.
 3. Transforms.  The distinct snippets of an anchor are dealt to shards.  Over
-   an alphabet of BLOCK-byte blocks a window is SPAN / BLOCK symbols, and the
+   an alphabet of BLOCK-byte blocks a window is a few symbols, and the
    suffixes at distance BLOCK form chains.  Each shard has its own
    Burrows-Wheeler transform; the shards' transforms are merged by refining
    their interleave one symbol at a time, reading the transforms only.  A
    position that becomes a boundary in round t has a common prefix of t - 1
-   symbols; what is no boundary after SPAN / BLOCK rounds is a repeated
-   interval, and its suffixes are the repeated windows.
-4. Anchors with very many distinct snippets (a passage that very many texts
-   share, each with other surroundings) would not fit a task: their windows are
+   symbols; what is no boundary after SPAN / BLOCK rounds (PASSAGE / BLOCK) is a
+   repeated interval, and its suffixes are the repeated windows.
+4. Anchors with more distinct snippets than a task's transforms hold (a passage
+   that very many texts share, each with other surroundings): their windows are
    counted by hash, packed and dealt by hash.  The result is the same.
 
 Equal texts are one text from the start: copies of SPAN bytes or more go as a whole.
@@ -35,13 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textkit
-from orrery.llm.jaccard import _release
-from orrery.llm.shared import parallel, settled, small_batches
+from orrery.llm.shared import forget, parallel, release, settled, small_batches
 
-SPAN, GRAM, BLOCK = 400, 150, 50
-#: Distinct snippets of an anchor that are merged in one task.
-MOST_VARIANTS = 512
+SPAN, PASSAGE, GRAM, BLOCK = 400, 300, 100, 50
+#: Distinct snippets of an anchor that are merged in one task: about 2 MB, which take some 200 MB while they are merged.
+MOST_VARIANTS = 4096
 SHARDS = 4
+#: Windows of a snippet at most.
+PIECE = 1 << 15
 #: Snippet bytes merged at once, text bytes searched for anchors at once, and crowded snippets dealt at once.
 BATCH_BYTES, CHUNK_BYTES, DEAL_ROWS = 1 << 20, 1 << 20, 500
 
@@ -69,8 +73,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Row, hash, position, and first and last window of each anchor occurrence in the rows; positions within their row."""
+def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int, piece: int = PIECE) -> tuple[np.ndarray, ...]:
+    """Row, hash, first and last window and number of anchor places of each run of windows with equal anchors; windows within their row.
+
+    Runs are cut after ``piece`` windows.
+    """
     empty = np.zeros(0, np.int64)
     if len(data) < span:
         return empty, np.zeros(0, np.uint64), empty, empty, empty
@@ -80,27 +87,36 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> tupl
     anchor = (at & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     window = np.flatnonzero(np.arange(len(anchor)) + span <= offsets[row + 1])
+    if not len(window):
+        return empty, np.zeros(0, np.uint64), empty, empty, empty
     anchor, row = anchor[window], row[window]
-    fresh = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))) if len(anchor) else empty
-    last = np.append(fresh[1:], len(anchor)) - 1 if len(fresh) else empty
+    key = keys[anchor]
+    fresh = np.append(True, (key[1:] != key[:-1]) | (row[1:] != row[:-1]))
+    run = np.flatnonzero(fresh)
+    begin = np.repeat(run, np.diff(np.append(run, len(key))))
+    fresh |= (np.arange(len(key)) - begin) % piece == 0
+    fresh = np.flatnonzero(fresh)
+    last = np.append(fresh[1:], len(anchor)) - 1
+    moved = np.append(0, np.cumsum(anchor[1:] != anchor[:-1]))
     base = offsets[row[fresh]]
-    return row[fresh], keys[anchor[fresh]], anchor[fresh] - base, window[fresh] - base, window[last] - base
+    return row[fresh], key[fresh], window[fresh] - base, window[last] - base, moved[last] - moved[fresh] + 1
 
 
 def _find_anchors(span: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             body, offsets = textkit.text_bytes(batch.column("text"))
-            text = batch.column("row").to_numpy(zero_copy_only=False)
             for lo, hi in textkit.row_chunks(offsets, CHUNK_BYTES):
-                row, key, *_ = anchors(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span, gram)
-                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "row": pa.array(text[lo:hi][row], pa.int64())})
+                row, key, _, _, places = anchors(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], span, gram)
+                yield pa.record_batch({"key": pa.array(key.view(np.int64)), "row": batch.column("row").take(pa.array(row + lo)), "places": pa.array(np.minimum(places, 2).astype(np.int8))})
 
     return run
 
 
-def _cut_snippets(span: int, gram: int):
-    """The snippets of a text's repeated anchors."""
+def _cut_snippets(span: int, tail: int, gram: int):
+    """The snippets of a text's repeated anchors, as far as the text goes; ``inner`` ones have several places of their anchor."""
+    names = ("key", "hash", "row", "first", "windows", "inner", "bytes")
+    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,22 +124,19 @@ def _cut_snippets(span: int, gram: int):
             text, keys = batch.column("row").to_pylist(), batch.column("keys")
             for lo, hi in textkit.row_chunks(offsets, CHUNK_BYTES):
                 start = offsets[lo]
-                row, key, _, first, last = anchors(body[start : offsets[hi]], offsets[lo : hi + 1] - start, span, gram)
+                row, key, first, last, places = anchors(body[start : offsets[hi]], offsets[lo : hi + 1] - start, span, gram)
                 key = key.view(np.int64)
                 bounds = np.searchsorted(row, np.arange(hi - lo + 1))
-                out: dict[str, list] = {c: [] for c in ("key", "hash", "row", "first", "bytes")}
+                out: list[list] = [[] for _ in names]
                 for r in range(hi - lo):
                     a, b = bounds[r], bounds[r + 1]
                     known = np.isin(key[a:b], np.asarray(keys[lo + r].values))
                     for i in (np.flatnonzero(known) + a).tolist():
                         at = int(offsets[lo + r]) + int(first[i])
-                        piece = body[at : at + int(last[i] - first[i]) + span].tobytes()
-                        out["key"].append(int(key[i]))
-                        out["hash"].append(hashlib.blake2b(piece, digest_size=16).digest())
-                        out["row"].append(text[lo + r])
-                        out["first"].append(int(first[i]))
-                        out["bytes"].append(piece)
-                yield pa.record_batch([pa.array(out["key"], pa.int64()), pa.array(out["hash"], pa.binary()), pa.array(out["row"], pa.int64()), pa.array(out["first"], pa.int32()), pa.array(out["bytes"], pa.binary())], names=list(out))
+                        found = body[at : min(at + int(last[i] - first[i]) + tail, int(offsets[lo + r + 1]))].tobytes()
+                        for column, v in zip(out, (int(key[i]), hashlib.blake2b(found, digest_size=16).digest(), text[lo + r], int(first[i]), int(last[i] - first[i]) + 1, int(places[i] > 1), found), strict=True):
+                            column.append(v)
+                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
@@ -192,8 +205,11 @@ def merge(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     return source, common
 
 
-def repeated_windows(strings: list[bytes], span: int = SPAN, block: int = BLOCK, shards: int = SHARDS) -> list[np.ndarray]:
-    """For each string the starts of its windows of ``span`` bytes that occur more than once in all strings."""
+def repeated_starts(strings: list[bytes], spans: list[int], block: int = BLOCK, shards: int = SHARDS, windows: list[int] | None = None) -> list[list[np.ndarray]]:
+    """For each span and string the starts of the string's windows of that many bytes that occur more than once in all strings.
+
+    Only the first ``windows`` starts of a string count, if given: what follows is in another string too.
+    """
     m = max(1, min(shards, len(strings)))
     hashes = []
     for s in strings:
@@ -209,15 +225,28 @@ def repeated_windows(strings: list[bytes], span: int = SPAN, block: int = BLOCK,
         starts = np.cumsum([0, *(len(strings[i]) + 1 for i in mine)])
         built.append(Shard(np.concatenate([code[bounds[i] : bounds[i + 1]] for i in mine]), starts, block))
         places.append(np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in mine])[built[-1].order])
-    source, common = merge(built, span // block)
+    source, common = merge(built, max(spans) // block)
     place = np.empty(len(source), np.int64)
     place[np.argsort(source, kind="stable")] = np.concatenate(places)
-    inside = common >= span // block
-    inside[0] = False
-    again = inside | np.append(inside[1:], False)
-    hit = np.zeros(int(bounds[-1]), bool)
-    hit[place[again]] = True
-    return [np.flatnonzero(hit[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    counts = np.ones(int(bounds[-1]), bool)
+    if windows is not None:
+        counts = np.arange(int(bounds[-1])) < np.repeat(bounds[:-1] + np.array(windows), np.diff(bounds))
+    counts = counts[place]
+    out = []
+    for span in spans:
+        inside = common >= span // block
+        inside[0] = False
+        interval = np.cumsum(~inside) - 1
+        again = counts & (np.bincount(interval, counts)[interval] > 1)
+        hit = np.zeros(int(bounds[-1]), bool)
+        hit[place[again]] = True
+        out.append([np.flatnonzero(hit[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+    return out
+
+
+def repeated_windows(strings: list[bytes], span: int = SPAN, block: int = BLOCK, shards: int = SHARDS) -> list[np.ndarray]:
+    """For each string the starts of its windows of ``span`` bytes that occur more than once in all strings."""
+    return repeated_starts(strings, [span], block, shards)[0]
 
 
 def _runs(starts: np.ndarray, span: int) -> bytes:
@@ -228,48 +257,50 @@ def _runs(starts: np.ndarray, span: int) -> bytes:
     return np.stack([starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)] + span], axis=1).astype("<i8").tobytes()
 
 
-def _merge_snippets(span: int, block: int):
-    """Repeated windows of the snippets that stand alone; the rows are sorted by key, and a key's rows are together."""
+_RUNS = pa.schema([("row", pa.binary()), ("long", pa.bool_()), ("runs", pa.binary())])
+_RUNS_SQL = "row binary, long boolean, runs binary"
+
+
+def _merge_snippets(spans: list[int], block: int):
+    """Repeated windows of each span of the snippets that stand alone; the rows are sorted by key, and a key's rows are together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "first", "alone", "bytes")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "row", "first", "windows", "alone", "bytes")), strict=True):
                 if size >= BATCH_BYTES and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[4])
+                size += len(row[5])
         if held:
             yield flush(held)
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
-        rows, runs = [], []
-        for (_, row, first, alone, _), starts in zip(held, repeated_windows([h[4] for h in held], span, block), strict=True):
-            if alone and len(starts):
-                rows.append(row)
-                runs.append(_runs(starts + first, span))
-        return pa.record_batch({"row": pa.array(rows, pa.int64()), "runs": pa.array(runs, pa.binary())})
+        found = []
+        for span, by_string in zip(spans, repeated_starts([h[5] for h in held], spans, block, windows=[h[3] for h in held]), strict=True):
+            found += [(row, span == spans[0], _runs(starts + first, span)) for (_, row, first, _, alone, _), starts in zip(held, by_string, strict=True) if alone and len(starts)]
+        return pa.record_batch([pa.array(v, t.type) for v, t in zip(zip(*found, strict=True) if found else ((), (), ()), _RUNS, strict=True)], schema=_RUNS)
 
     return run
 
 
-_WINDOW = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<i8"), ("alone", "u1")])
+_WINDOW = np.dtype([("hash", "<u8"), ("row", "<u8", 2), ("at", "<i8"), ("alone", "u1"), ("long", "u1")])
 
 
-def _deal_windows(span: int, parts: int):
+def _deal_windows(spans: list[int], parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, DEAL_ROWS) for b in batches for at in range(0, b.num_rows, DEAL_ROWS)):
-            made = []
-            for row, first, alone, piece in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "alone", "bytes")), strict=True):
-                h = rolling(np.frombuffer(piece, np.uint8), span)
-                w = np.empty(len(h), _WINDOW)
-                w["hash"], w["row"], w["at"], w["alone"] = h, row, first + np.arange(len(h)), alone
-                made.append(w)
-            windows = np.concatenate(made) if made else np.empty(0, _WINDOW)
+            made = [np.empty(0, _WINDOW)]
+            for row, first, count, alone, piece in zip(*(batch.column(c).to_pylist() for c in ("row", "first", "windows", "alone", "bytes")), strict=True):
+                for span in spans:
+                    h = rolling(np.frombuffer(piece, np.uint8), span)[:count]
+                    w = np.empty(len(h), _WINDOW)
+                    w["hash"], w["row"], w["at"], w["alone"], w["long"] = h, np.frombuffer(row, "<u8"), first + np.arange(len(h)), alone, span == spans[0]
+                    made.append(w)
+            windows = np.concatenate(made)
             part = windows["hash"] % np.uint64(parts)
-            # Of each hash two windows are enough to tell; but all that stand alone are wanted.
             order = np.argsort(part, kind="stable")
             windows, part = windows[order], part[order]
             cuts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
@@ -279,25 +310,36 @@ def _deal_windows(span: int, parts: int):
     return run
 
 
-def _count_windows(span: int):
+def _count_windows(spans: list[int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_part: dict[int, list] = {}
         for batch in batches:
             for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist(), strict=True):
                 by_part.setdefault(part, []).append(blob)
         for part in sorted(by_part):
-            w = np.frombuffer(b"".join(by_part.pop(part)), _WINDOW)
-            w = w[np.argsort(w["hash"], kind="stable")]
-            same = w["hash"][1:] == w["hash"][:-1]
-            again = w[(np.append(False, same) | np.append(same, False)) & (w["alone"] == 1)]
-            again = again[np.lexsort((again["at"], again["row"]))]
-            cut = np.flatnonzero(np.append(True, again["row"][1:] != again["row"][:-1])) if len(again) else np.zeros(0, np.int64)
-            pieces = np.split(again, cut[1:]) if len(again) else []
-            yield pa.record_batch({"row": pa.array([int(p["row"][0]) for p in pieces], pa.int64()), "runs": pa.array([_runs(p["at"].astype(np.int64), span) for p in pieces], pa.binary())})
+            every = np.frombuffer(b"".join(by_part.pop(part)), _WINDOW)
+            found = []
+            for span in spans:
+                w = every[every["long"] == (span == spans[0])]
+                w = w[np.argsort(w["hash"], kind="stable")]
+                same = w["hash"][1:] == w["hash"][:-1]
+                again = w[(np.append(False, same) | np.append(same, False))[: len(w)] & (w["alone"] == 1)]
+                again = again[np.lexsort((again["at"], again["row"][:, 0], again["row"][:, 1]))]
+                cut = np.flatnonzero(np.append(True, (again["row"][1:] != again["row"][:-1]).any(axis=1))) if len(again) else np.zeros(0, np.int64)
+                found += [(p["row"][0].tobytes(), span == spans[0], _runs(np.unique(p["at"].astype(np.int64)), span)) for p in (np.split(again, cut[1:]) if len(again) else [])]
+            yield pa.record_batch([pa.array(v, t.type) for v, t in zip(zip(*found, strict=True) if found else ((), (), ()), _RUNS, strict=True)], schema=_RUNS)
 
     return run
 
 
+def _covered(runs: list[bytes]) -> int:
+    """Bytes that the spans cover."""
+    spans = np.frombuffer(b"".join(runs), "<i8").reshape(-1, 2)
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.append(0, np.maximum.accumulate(spans[:, 1])[:-1]) if len(spans) else spans[:, 1]
+    return int(np.maximum(spans[:, 1] - np.maximum(spans[:, 0], reach), 0).sum())
+
+
 def _remove(text: bytes, runs: list[bytes]) -> tuple[int, int, bytes]:
     """Bytes removed, maximal removed runs, and the bytes that stay."""
     spans = np.frombuffer(b"".join(runs), "<i8").reshape(-1, 2)
@@ -321,76 +363,96 @@ def _remove(text: bytes, runs: list[bytes]) -> tuple[int, int, bytes]:
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, out = batch.column("row").to_pylist(), []
-        texts, runs = batch.column("text"), batch.column("runs")
-        for i in range(batch.num_rows):
-            out.append(_remove(texts[i].as_py().encode(), runs[i].as_py()))
+        texts, runs, short = batch.column("text"), batch.column("runs"), batch.column("short")
+        out = [(*_remove(texts[i].as_py().encode(), runs[i].as_py()), _covered(runs[i].as_py() + short[i].as_py())) for i in range(batch.num_rows)]
         yield pa.record_batch({
-            "row": pa.array(rows, pa.int64()), "n_removed": pa.array([o[0] for o in out], pa.int64()), "n_spans": pa.array([o[1] for o in out], pa.int64()),
-            "kept": pa.array([o[2] for o in out], pa.binary()),
+            "row": batch.column("row"), "n_removed": pa.array([o[0] for o in out], pa.int64()), "n_spans": pa.array([o[1] for o in out], pa.int64()),
+            "kept": pa.array([o[2] for o in out], pa.binary()), "n_passage": pa.array([o[3] for o in out], pa.int64()),
         })
 
 
+def _pack_spans(span: int):
+    """Snippets that occur several times, as runs: of strings of ``span`` bytes if they are that long, else of shorter ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
+            flat = np.stack([a, b], axis=1).astype("<i8").tobytes()
+            yield pa.record_batch([batch.column("row"), pa.array(b - a >= span, pa.bool_()), pa.array([flat[i : i + 16] for i in range(0, len(flat), 16)], pa.binary())], schema=_RUNS)
+
+    return run
+
+
 def remove_repeats(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, gram: int = GRAM, block: int = BLOCK, most_variants: int = MOST_VARIANTS, keep_bytes: bool = False
-) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with ``keep_bytes`` also ``kept`` (binary, null if nothing went).
-
-    ``span`` is a multiple of ``block``.  A null text is empty; texts shorter
-    than ``span`` lose nothing.  Cuts may fall inside a UTF-8 character, so what
-    is kept is bytes.  Repeated rows are copies of each other.  An empty table
-    gives no rows.  Columns beside the named ones are ignored.  Strings with
-    equal 64-bit hashes count as equal.
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, passage: int | None = None, gram: int = GRAM, block: int = BLOCK, most_variants: int = MOST_VARIANTS,
+    keep_bytes: bool = False,
+) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_passage; with ``keep_bytes`` also ``kept`` (binary, null if nothing went).
+
+    ``n_passage`` counts the bytes that strings of ``passage`` bytes (three
+    quarters of ``span``, if not given) cover that also start elsewhere; what is
+    removed is among them.  ``span`` and ``passage`` are multiples of ``block``.
+    A null text is empty; texts shorter than ``span`` lose nothing.  Cuts may
+    fall inside a UTF-8 character, so what is kept is bytes.  Repeated rows are
+    copies of each other.  An empty table gives no rows.  Columns beside the
+    named ones are ignored.  Texts are told apart by 128 bits of their SHA-256,
+    strings by 64-bit hashes: equal hashes count as equal.
     """
-    if span % block:
-        raise ValueError("span must be a multiple of block")
+    passage = passage or span * PASSAGE // SPAN // block * block
+    if span % block or passage % block or not gram < passage <= span:
+        raise ValueError("span and passage must be multiples of block, the passage between gram and span")
     spark = docs.sparkSession
     small_batches(spark)
+    spans, some = [span, passage], F.count(F.lit(1))
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    body = body.withColumn("sha", F.sha2("text", 256)).withColumn("row", F.xxhash64("sha"))
+    body = body.withColumn("sha", F.sha2("text", 256)).withColumn("row", F.unhex(F.substring("sha", 1, 32)))
     small = settled(body.select("doc_id", "row", "sha", F.octet_length("text").cast("long").alias("n_bytes")))
-    long = body.where(F.octet_length("text") >= span)
-    found = settled(long.select("row", "text").mapInArrow(_find_anchors(span, gram), "key long, row long"))
-    repeated = settled(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    long = body.where(F.octet_length("text") >= passage)
+    found = settled(long.select("row", "text").mapInArrow(_find_anchors(passage, gram), "key long, row binary, places byte"))
+    repeated = settled(found.groupBy("key").agg(F.sum("places").alias("n")).where("n > 1").select("key"))
     per_row = found.join(repeated, "key").groupBy("row").agg(F.collect_set("key").alias("keys"))  # bounded by a text's length
-    texts = settled(small.groupBy("row").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id")))
+    texts = settled(small.groupBy("row").agg(some.alias("copies"), F.min("doc_id").alias("first_id")))
     wanted = settled(per_row.join(texts, "row"))
+    forget(found, repeated)
     chosen = long.select("doc_id", "row", "text").alias("d").join(wanted.alias("w"), (F.col("d.row") == F.col("w.row")) & F.col("d.doc_id").eqNullSafe(F.col("w.first_id")))
     chosen = settled(chosen.select("d.row", "d.text", "w.keys", "w.copies"))
-    _release(spark)
-    snippets = settled(chosen.select("row", "text", "keys").mapInArrow(_cut_snippets(span, gram), "key long, hash binary, row long, first int, bytes binary"))
-    kinds = snippets.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "first")).alias("one"))
-    kinds = settled(kinds.select("key", "hash", "n", F.col("one.row").alias("one_row"), F.col("one.first").alias("one_first")))
-    whole = snippets.select("key", "hash", "row", "first", F.octet_length("bytes").alias("size")).join(settled(kinds.where("n > 1").select("key", "hash")), ["key", "hash"])
-    whole = whole.select("row", F.col("first").cast("long").alias("a"), (F.col("first") + F.col("size")).cast("long").alias("b"))
-    several = settled(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1"))
+    forget(wanted)
+    release(spark)
+    snippets = settled(chosen.select("row", "text", "keys").mapInArrow(_cut_snippets(passage, span, gram), "key long, hash binary, row binary, first int, windows int, inner int, bytes binary"))
+    kinds = snippets.groupBy("key", "hash").agg(some.alias("n"), F.max("inner").alias("inner"), F.min(F.struct("row", "first")).alias("one"))
+    kinds = settled(kinds.select("key", "hash", "n", "inner", F.col("one.row").alias("one_row"), F.col("one.first").alias("one_first")))
+    many = settled(kinds.where("n > 1").select("key", "hash"))
+    whole = snippets.select("key", "hash", "row", "first", F.octet_length("bytes").alias("size")).join(many, ["key", "hash"])
+    packed = settled(whole.select("row", F.col("first").cast("long").alias("a"), (F.col("first") + F.col("size")).cast("long").alias("b")).mapInArrow(_pack_spans(span), _RUNS_SQL))
+    several = settled(kinds.groupBy("key").agg(some.alias("variants"), F.max("inner").alias("inner")).where("variants > 1 or inner > 0").select("key", "variants"))
     asked = settled(kinds.join(several, "key").select("key", "hash", "one_row", "one_first", (F.col("n") == 1).cast("int").alias("alone"), "variants"))
-    variants = snippets.join(asked, ["key", "hash"]).where("row = one_row and first = one_first").select("key", "row", "first", "alone", "bytes", "variants")
+    variants = snippets.join(asked, ["key", "hash"]).where("row = one_row and first = one_first").select("key", "row", "first", "windows", "alone", "bytes", "variants")
     variants = settled(variants)
+    forget(snippets, kinds, many, several, asked)
+    release(spark)
     few = variants.where(F.col("variants") <= most_variants).drop("variants").repartition(parallel(spark), "key").sortWithinPartitions("key")
-    runs = few.mapInArrow(_merge_snippets(span, block), "row long, runs binary")
+    runs = few.mapInArrow(_merge_snippets(spans, block), _RUNS_SQL)
     parts = parallel(spark)
-    dealt = variants.where(F.col("variants") > most_variants).drop("variants", "key").mapInArrow(_deal_windows(span, parts), "part int, blob binary")
-    runs = runs.union(dealt.repartition(parts, "part").mapInArrow(_count_windows(span), "row long, runs binary"))
-    runs = settled(runs)
-    _release(spark)
-    packed = settled(whole.mapInArrow(_pack_spans, "row long, runs binary"))
-    by_row = settled(runs.union(packed).groupBy("row").agg(F.collect_list("runs").alias("runs")))  # bounded by a text's length
-    cut = chosen.where("copies = 1").select("row", "text").join(by_row, "row").mapInArrow(_finish, "row long, n_removed long, n_spans long, kept binary")
-    cut = settled(cut.withColumn("kept_sha", F.sha2("kept", 256)).select("row", "n_removed", "n_spans", "kept_sha", *(["kept"] if keep_bytes else [])))
-    out = small.join(settled(texts.select("row", "copies")), "row").join(cut, "row", "left")
-    copied = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
+    dealt = variants.where(F.col("variants") > most_variants).drop("variants", "key").mapInArrow(_deal_windows(spans, parts), "part int, blob binary")
+    runs = settled(runs.union(dealt.repartition(parts, "part").mapInArrow(_count_windows(spans), _RUNS_SQL)))
+    forget(variants)
+    release(spark)
+    here = lambda flag: F.collect_list(F.when(flag, F.col("runs")))
+    by_row = settled(runs.union(packed).groupBy("row").agg(here(F.col("long")).alias("runs"), here(~F.col("long")).alias("short")))  # bounded by a text's length
+    cut = chosen.where("copies = 1").select("row", "text").join(by_row, "row").mapInArrow(_finish, "row binary, n_removed long, n_spans long, kept binary, n_passage long")
+    cut = settled(cut.withColumn("kept_sha", F.sha2("kept", 256)).select("row", "n_removed", "n_spans", "n_passage", "kept_sha", *(["kept"] if keep_bytes else [])))
+    forget(runs, packed, by_row, chosen)
+    # Only texts that have copies or lose bytes meet the rows again.
+    changed = settled(texts.where("copies > 1").select("row", "copies").join(cut, "row", "full_outer"))
+    forget(texts, cut)
+    out = small.join(changed, "row", "left")
+    copied = lambda least: (F.col("copies") > 1) & (F.col("n_bytes") >= least)
     nothing = F.sha2(F.lit("").cast("binary"), 256)
+    zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id", "n_bytes", F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
-        F.when(copied, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", F.lit(0))).alias("n_spans"),
-        F.when(copied, nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
-        *([F.when(copied, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if keep_bytes else []),
+        "doc_id", "n_bytes", F.when(copied(span), F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
+        F.when(copied(span), F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
+        F.when(copied(span), nothing).otherwise(F.coalesce("kept_sha", "sha")).alias("kept_sha256"),
+        F.when(copied(passage), F.col("n_bytes")).otherwise(F.coalesce("n_passage", zero)).alias("n_passage"),
+        *([F.when(copied(span), F.lit(b"")).otherwise(F.when(F.col("n_removed") > 0, F.col("kept"))).alias("kept")] if keep_bytes else []),
     )
-
-
-def _pack_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b"))
-        flat = np.stack([a, b], axis=1).astype("<i8").tobytes()
-        yield pa.record_batch({"row": batch.column("row"), "runs": pa.array([flat[i : i + 16] for i in range(0, len(flat), 16)], pa.binary())})

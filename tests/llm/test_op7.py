@@ -69,3 +69,35 @@ def test_merged_transforms():
 def test_sliding_least():
     v = np.random.default_rng(2).integers(0, 50, 200).astype(np.uint64)
     assert sliding_least(v, 7).tolist() == [v[i : i + 7].min() for i in range(194)]
+
+
+def test_shorter_passages(spark, texts):
+    """Strings of three quarters of a span are counted, exactly and by either way of crowded anchors."""
+    for more in ({}, {"most_variants": 3}):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = sorted(remove_repeats(docs, span=40, gram=16, block=5, **more).select("doc_id", "n_passage").collect())
+        assert [n for _, n in got] == [n for _, n, *_ in brute(texts, 30)]
+
+
+def test_periodic_texts(spark):
+    """Runs of one character or of a short period are few bounded snippets, however long."""
+    from orrery.llm.repeats import PIECE, anchors
+
+    for period in (b"=", b"ab", b"0123456789" * 7, bytes(range(256)) * 2):
+        data = np.frombuffer((period * 200_000)[:200_000], np.uint8)
+        row, key, first, last, places = anchors(data, np.array([0, len(data)]), 300, 100)
+        assert first[0] == 0 and (first[1:] == last[:-1] + 1).all() and last[-1] == len(data) - 300 and (last - first).max() < PIECE
+        assert len(row) <= 10 or len(period) > 300
+    long = "=" * 10_000_000
+    rng = random.Random(4)
+    odd = "".join(rng.choice("abcdefgh ") for _ in range(3000))
+    got = run(spark, [long, odd, odd[:700] + "~" * 450, "-" * 399, "x-" * 250], 400)
+    assert got[0][:3] == (10_000_000, 10_000_000, 1) and got[1][:3] == (3000, 700, 1) and got[2][:3] == (1150, 1150, 1) and got[3][:3] == (399, 0, 0) and got[4][:3] == (500, 500, 1)
+
+
+def test_ties_and_null_ids(spark):
+    rng = random.Random(9)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    docs = spark.createDataFrame([(None, body), (None, body), (7, body), (7, "short"), (None, None)], "doc_id long, text string")
+    got = sorted((tuple(r)[:4] for r in remove_repeats(docs, keep_bytes=True).select("doc_id", "n_bytes", "n_removed", "n_passage").collect()), key=str)
+    assert got == sorted([(None, 500, 500, 500)] * 2 + [(7, 500, 500, 500), (7, 5, 0, 0), (None, 0, 0, 0)], key=str)
