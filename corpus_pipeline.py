@@ -25,32 +25,36 @@ def _columns(docs: DataFrame, **new) -> list:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity grammar doesn't reject."""
+    """Documents that the toxicity grammar doesn't reject; null and empty texts stay, equal rows share a verdict."""
     scored = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=True)
     return scored.where("predicted = 0").select(_columns(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the Jaccard join."""
+    """One document of each component of the Jaccard join; of equal rows one, null and empty texts and rows without id all stay."""
     return keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none, equal rows share a verdict."""
     checked = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=True)
     return checked.where("not contaminated").select(_columns(docs))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    """All documents, personal data replaced by its kind; n_chars follows the text, null texts keep theirs."""
     masked = find_pii(docs, redact=True, carry=True)
     n_chars = F.coalesce(F.char_length("text").cast("long"), F.col("document.n_chars"))
     return masked.select(_columns(docs, text=F.col("text"), n_chars=n_chars))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words the mixture takes of each document."""
-    return mix_sources(docs)
+    """The documents, with size, source_size, target and taken: how many words the mixture takes of each.
+
+    Null and empty texts have no words and give none; equal rows each get a row.
+    """
+    mixed = mix_sources(docs, carry=True)
+    return mixed.select(*_columns(docs), *[c for c in ("size", "source_size", "target", "taken") if c not in docs.columns])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

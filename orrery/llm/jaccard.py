@@ -60,7 +60,7 @@ DRAWN = 8
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
 BITS = 1024
 #: Places of the bitmaps that tell whether prefixes of the other orders can share a token.
-PREFIX_BITS = 512
+PREFIX_BITS = 128
 
 _DF_BITS = np.uint64(16)
 _MOST_DF = 65535
@@ -343,10 +343,10 @@ def _verify(threshold: int):
     return run
 
 
-def _may_overlap(a: str, b: str, threshold: int):
-    """Do the bitmaps of two sides (structs n, shared, bits) allow the overlap that a link needs?"""
+def _may_overlap(a: str, b: str, threshold: int, words: int = BITS // 64):
+    """Do the first words of the bitmaps of two sides (structs n, shared, bits) allow the overlap that a link needs?"""
     differ = F.lit(0)
-    for i in range(BITS // 64):
+    for i in range(words):
         differ = differ + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
     return (F.col(f"{a}.shared") + F.col(f"{b}.shared") - differ) * (100 + threshold) >= 2 * threshold * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
@@ -415,31 +415,35 @@ def _contracted(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(rows: DataFrame, profiles: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of all pairs of different labels that the filters leave, each once.
+    """(a, b) of all pairs of different labels that the filters leave.
 
     The smaller set of a pair has the first shared prefix token among its first
     n - ceil(2 t n / (1 + t)) + 1 tokens (its index prefix), the larger one
-    anywhere in its prefix.  A pair comes from that token only, if the
-    prefixes of the other orders can share a token too, and if sizes, places
-    and bitmaps allow the overlap.  The most common label of a bucket
-    never meets itself, so a bucket costs what its pairs of different labels do.
+    anywhere in its prefix; so a bucket without such a token is dropped, and
+    pairs are made of index tokens and prefix tokens only.  They are made if
+    sizes and places allow the overlap, if the prefixes of the other orders can
+    share a token too, and if the first half of the bitmaps allows the overlap;
+    the whole bitmaps come after.  The most common label of a bucket never
+    meets itself, so a bucket costs what its pairs of different labels do.
     """
-    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    major = settled(by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most")).select("token", F.col("most.label").alias("major")))
-    side = profiles.select("node", F.struct("n", "shared", "bits", "others", "head").alias("set"))
-    placed = settled(rows.join(major, "token").join(side, "node").withColumn("minor", F.col("label") != F.col("major")).drop("major"))
-    larger = placed.select("token", F.col("node").alias("a"), F.col("place").alias("i"), F.col("label").alias("from"), F.col("set").alias("x"), F.col("minor").alias("a_minor"))
-    smaller = placed.where((F.col("n") - F.col("place")) * (100 + threshold) >= 2 * threshold * F.col("n"))
-    smaller = smaller.select("token", F.col("node").alias("b"), F.col("place").alias("j"), F.col("label").alias("to"), F.col("set").alias("y"), F.col("minor").alias("b_minor"))
+    index = (F.col("n") - F.col("place")) * (100 + threshold) >= 2 * threshold * F.col("n")
+    by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.max(index).alias("index"))
+    buckets = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.max("index").alias("index"), F.count(F.lit(1)).alias("labels"))
+    buckets = settled(buckets.where("index and labels > 1").select("token", F.col("most.label").alias("major"), (F.col("most.c") > 1).alias("split")))
+    side = profiles.select("node", F.struct("shared", "others", F.slice("bits", 1, BITS // 128).alias("bits")).alias("set"))
+    placed = settled(rows.join(buckets, "token").join(side, "node").withColumn("minor", ~F.col("split") | (F.col("label") != F.col("major"))).drop("major", "split"))
+    role = lambda node, at, label, name, minor: [F.col("node").alias(node), F.col("place").alias(at), F.col("label").alias(label), F.struct("n", "set.*").alias(name), F.col("minor").alias(minor)]
+    larger, smaller = placed.select("token", *role("a", "i", "from", "x", "a_minor")), placed.where(index).select("token", *role("b", "j", "to", "y", "b_minor"))
     n, m = F.col("x.n"), F.col("y.n")
     in_order = (m < n) | ((m == n) & (F.col("a") < F.col("b")))
     far_enough = F.least(n - F.col("i"), m - F.col("j")) * (100 + threshold) >= (n + m) * threshold
-    first = F.array_intersect("x.head", "y.head")[0] == F.col("token")
-    alike = (F.col("from") != F.col("to")) & in_order & _long_enough("x.n", "y.n", threshold) & far_enough & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold) & first
+    alike = (F.col("from") != F.col("to")) & in_order & _long_enough("x.n", "y.n", threshold) & far_enough & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold, BITS // 128)
     met = larger.join(smaller.where("b_minor"), "token").where(alike).select("a", "b")
-    met = met.union(larger.where("a_minor").join(smaller.where("not b_minor"), "token").where(alike).select("a", "b"))
-    pairs = settled(met)
-    forget(placed, major)
+    if not buckets.where("split").isEmpty():
+        met = met.union(larger.where("a_minor").join(smaller.where("not b_minor"), "token").where(alike).select("a", "b"))
+    some = settled(met.distinct())
+    pairs = settled(_likely(some, profiles, threshold))
+    forget(placed, buckets, some)
     return pairs
 
 

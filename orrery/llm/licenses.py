@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import ALNUM_WORD, settled, whole_row
+from orrery.llm.shared import alnum_words, settled, whole_row
 
 # Phrases and labels of the contract, in its order.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -29,106 +29,101 @@ TEMPLATES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by-sa": "licensed under a creative commons attribution share alike license",
     "gpl-3": "this work is licensed under the gnu general public license version 3",
+    "apache-header": "you may not use this file except in compliance with the license",
+    "gpl-header": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
     "mit": "released under the mit license",
+    "mit-warranty": "the software is provided as is without warranty of any kind express or implied",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "public-domain": "this work is released into the public domain",
 }
+#: Words without which a block is no such notice, however many of the others it holds.
+MARKS = {
+    "apache-2.0": "apache license", "apache-header": "compliance license", "bsd": "redistribution source binary", "cc-by-nc": "cc nc", "cc-by-sa": "commons share alike", "gpl-3": "gnu public license",
+    "gpl-header": "gnu redistribute license", "mit": "mit license", "mit-grant": "permission hereby granted", "mit-warranty": "software warranty", "mpl-2.0": "mozilla public license", "public-domain": "public domain",
+}
 CONTAINMENT = 0.8
 #: A notice is met within so many times its own number of words.
 WINDOW = 2
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
-
-
-def _any_of(phrases: list[str]) -> str:
-    """A pattern for lower-cased text that holds one of the phrases; it is tried after breaks only."""
-    return rf"(?:^|{_BREAK})(?:{'|'.join(f'{_BREAK}+'.join(p.split()) for p in phrases)})(?:{_BREAK}|$)"
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(ALNUM_WORD), F.lit(0))
-
-
-def _folded(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, _UPPER, _LOWER))
-
-
 def _strings(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
 
 def _places(phrase: str) -> Column:
-    """Starts of a phrase in the column ``folded``."""
+    """Starts of a phrase in the column ``words``; texts without its first word aren't searched."""
     parts = phrase.split()
-    here = lambda i: [F.get(F.col("folded"), i + j) == p for j, p in enumerate(parts)]
 
     def same(i: Column) -> Column:
-        out = here(i)[0]
-        for more in here(i)[1:]:
-            out = out & more
+        out = F.get(F.col("words"), i) == parts[0]
+        for j, part in enumerate(parts[1:], 1):
+            out = out & (F.get(F.col("words"), i + j) == part)
         return F.coalesce(out, F.lit(False))
 
-    return F.filter(F.sequence(F.lit(0), F.size("folded")), same)
+    return F.when(F.array_contains("words", parts[0]), F.filter(F.sequence(F.lit(0), F.size("words")), same)).otherwise(F.array().cast("array<int>"))
+
 
+def _neighbours(notice: str) -> list[str]:
+    words = notice.split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
-def template_prefixes(scanned: DataFrame, templates: dict[str, str], containment: float) -> DataFrame:
-    """label, token, place, need, size, words, window: the prefix of each template in the order of document frequencies."""
+
+def template_prefixes(scanned: DataFrame, templates: dict[str, str], containment: float, marks: dict[str, str]) -> DataFrame:
+    """label, token, place, need, size, words, window, marks, pairs: the prefix of each template in the order of document frequencies."""
     seen = scanned.select(F.explode("vocabulary").alias("token"))
     counts = {r["token"]: r["n"] for r in seen.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a template word at most
     rows = []
     for label, notice in templates.items():
         words = sorted(set(notice.split()), key=lambda w: (counts.get(w, 0), w))
         need = -(-len(words) * round(containment * 100) // 100)
-        rows += [(label, w, place, need, len(words), words, WINDOW * len(notice.split())) for place, w in enumerate(words[: len(words) - need + 1])]
-    return scanned.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>, window int")
+        rows += [(label, w, place, need, len(words), words, WINDOW * len(notice.split()), marks.get(label, "").split(), _neighbours(notice) if label in marks else []) for place, w in enumerate(words[: len(words) - need + 1])]
+    return scanned.sparkSession.createDataFrame(rows, "label string, token string, place int, need int, size int, words array<string>, window int, marks array<string>, pairs array<string>")
 
 
 def match_templates(docs: DataFrame, text: str, prefixes: DataFrame, across_lines: bool) -> DataFrame:
     """(text_key, label, share) of the texts that hold a block meeting a template."""
     known = prefixes.select("token", "window").collect()  # a few words a template
     tokens, reach = sorted({r["token"] for r in known}), max((r["window"] for r in known), default=1) - 1
-    holds_token = _any_of(tokens)
-    # Texts and lines without any prefix word are dropped before words are taken.
-    body = docs.select(F.col(f"`{text}`").cast("string").alias("text")).withColumn("lower", F.lower("text")).where(F.col("lower").rlike(holds_token))
-    if across_lines:
-        parts = body.select(F.md5("text").alias("text_key"), F.col("lower").alias("part"))
-    else:
-        parts = body.select(F.md5("text").alias("text_key"), F.explode(F.split("lower", "\n")).alias("part")).where(F.col("part").rlike(holds_token))
+    # Texts and lines without any prefix word are dropped before places are looked for.
+    body = docs.select(F.col(f"`{text}`").cast("string").alias("text"))
+    parts = body.select(F.md5("text").alias("text_key"), F.col("text").alias("part") if across_lines else F.explode(F.split("text", "\n")).alias("part"))
+    keyed = parts.select("text_key", alnum_words(F.col("part")).alias("words")).where(F.arrays_overlap("words", _strings(tokens)))
     # Each prefix word with the words around it, as far as the longest window can reach.
     least = lambda i: F.greatest(i - reach, F.lit(0))
     places = F.filter(F.transform("words", lambda w, i: F.when(w.isin(tokens), i)), lambda i: i.isNotNull())
-    keyed = parts.select("text_key", _words(F.col("part")).alias("words"))
     keyed = keyed.select("text_key", F.explode(F.transform(places, lambda i: F.struct(F.get("words", i).alias("token"), (i - least(i)).alias("at"), F.slice("words", least(i) + 1, F.lit(2 * reach + 1)).alias("near")))).alias("hit"))
     pairs = keyed.select("text_key", "hit.*").join(F.broadcast(prefixes), "token")  # bounded: the templates are part of the code
     pairs = pairs.where(F.col("size") - F.col("place") >= F.col("need"))
     start = F.greatest(F.col("at") - F.col("window") + 1, F.lit(0))
     near = F.slice("near", start + 1, F.col("at") - start + F.col("window"))
-    pairs = pairs.where(F.size(F.array_intersect(near, "words")) >= F.col("need"))
-    shared = F.array_max(F.transform(F.sequence(start, F.col("at")), lambda i: F.size(F.array_intersect(F.slice("near", i + 1, F.col("window")), "words"))))
+    pairs = pairs.where((F.size(F.array_intersect(near, "words")) >= F.col("need")) & (F.size(F.array_except("marks", near)) == 0))
+    # Half of a marked notice's neighbouring words have to be neighbours here too: the words alone may be any prose.
+    after = F.transform(near, lambda w, i: F.concat_ws(" ", w, F.get(near, i + 1)))
+    pairs = pairs.where((F.size("pairs") == 0) | (2 * F.size(F.array_intersect(after, "pairs")) >= F.size("pairs")))
+    block = lambda i: F.slice("near", i + 1, F.col("window"))
+    shared = F.array_max(F.transform(F.sequence(start, F.col("at")), lambda i: F.when(F.size(F.array_except("marks", block(i))) == 0, F.size(F.array_intersect(block(i), "words"))).otherwise(0)))
     return pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("need")).groupBy("text_key", "label").agg(F.max(F.col("shared") / F.col("size")).alias("share"))
 
 
 def scan_licenses(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, carry: bool = False, across_lines: bool = False
-) -> DataFrame:
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, containment: float = CONTAINMENT, carry: bool = False, across_lines: bool = False,
+    marks: dict[str, str] | None = None,
+) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels (arrays), score.
 
     A null or empty text has no words, no places and score 0.  The score is 1
     for a phrase, else the best template containment that meets the threshold,
     else 0.  With ``across_lines`` a notice may be wrapped, without it has to stand
-    on one line.  Repeated rows each get a row; an empty table gives none.
+    on one line; with ``marks`` a block has to hold these words of a
+    label, and half of the notice's neighbouring words side by side.  Repeated rows each get a row; an empty table gives none.
     Columns beside the named ones are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     vocabulary = sorted({w for t in templates.values() for w in t.split()})
     none = F.array().cast("array<string>")
     out = docs.select(*([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    # Lower-casing outside ASCII never turns a word character into a break, so the words are as many.
-    out = out.withColumn("lower", F.lower("text")).withColumn("words", _words(F.col("lower")))
-    out = out.withColumn("folded", F.when(F.col("lower").rlike(_any_of(list(PHRASES))), _folded(_words(F.col("text")))).otherwise(none))
-    out = out.withColumns({f"at_{k}": F.when(F.size("folded") > 0, _places(p)).otherwise(F.array().cast("array<int>")) for k, p in enumerate(PHRASES)})
+    out = out.withColumn("words", alnum_words(F.col("text")))
+    out = out.withColumns({f"at_{k}": _places(p) for k, p in enumerate(PHRASES)})
     out = out.withColumn("places", F.concat(*[f"at_{k}" for k in range(len(PHRASES))]))
     out = out.withColumn("base_labels", F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"at_{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())]))))
     out = out.select(
@@ -137,7 +132,7 @@ def scan_licenses(
     )
     out = out if carry else settled(out)  # small without the texts, and read twice
     if templates:
-        met = match_templates(docs, text, template_prefixes(out, templates, containment), across_lines)
+        met = match_templates(docs, text, template_prefixes(out, templates, containment, marks or {}), across_lines)
         met = met.groupBy("text_key").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))  # a label a template at most
         out = out.join(settled(met), "text_key", "left")
     else:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import SOLID_WORD, settled, whole_row
+from orrery.llm.shared import settled, solid_words, whole_row
 
 # Weights by the rank of a source, repeating; epochs at most.
 WEIGHTS = (5, 2, 1)
@@ -63,7 +63,7 @@ def mix_sources(
     reruns agree.  An empty table gives no rows.  Other columns are ignored.
     """
     body = F.col(f"`{text}`").cast("string")
-    size = F.coalesce(F.regexp_count(body, F.lit(SOLID_WORD)), F.lit(0)).cast("long")
+    size = F.coalesce(F.size(solid_words(body)), F.lit(0)).cast("long")
     rows = docs.select(
         *([whole_row(docs)] if carry else []), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"),
         size.alias("size"), F.coalesce(F.char_length(body), F.lit(0)).alias("chars"), F.xxhash64(F.col(f"`{doc_id}`"), body, F.lit(seed)).alias("tie"),

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from orrery.llm.shared import settled
 
 _MARK = r"^(?:[ \t]*>)+"
+#: Turns of a conversation that one window task handles.
+RANGE = 4096
 
 
 def normalised(text: Column) -> Column:
@@ -38,19 +40,33 @@ def parse_quotes(messages: DataFrame, text: str) -> DataFrame:
         F.length(F.regexp_replace(F.regexp_extract(s, _MARK, 0), "[^>]", "")).alias("level"), F.regexp_replace(s, _MARK + " ?", "").alias("text")))
     out = messages.withColumn("lines", lines)
     own = F.regexp_replace(F.array_join(F.transform(F.filter("lines", lambda s: s["level"] == 0), lambda s: s["text"]), "\n"), r"^\n+|\s+$", "")
-    start = F.array().cast("array<struct<level:int,text:string>>")
+    none = F.array().cast("array<struct<level:int,text:string>>")
+    # Runs of one level, by the lines where the level changes; each line is copied once.
+    level = lambda i: F.get(F.col("lines"), i)["level"]
+    starts = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: (i == 0) | (level(i) != F.coalesce(level(i - 1), F.lit(-1))))
+    out = out.withColumn("own", own).withColumn("starts", F.when(F.exists("lines", lambda s: s["level"] > 0), starts).otherwise(F.array().cast("array<int>")))
 
-    def take(runs: Column, line: Column) -> Column:
-        same = (F.size(runs) > 0) & F.coalesce(F.element_at(runs, F.greatest(F.size(runs), F.lit(1)))["level"] == line["level"], F.lit(False))
-        return F.when(same, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(line["level"].alias("level"), F.concat_ws("\n", F.try_element_at(runs, F.lit(-1))["text"], line["text"]).alias("text"))))).otherwise(
-            F.concat(runs, F.array(F.struct(line["level"].alias("level"), line["text"].alias("text"))))
-        )
+    def passage(at: Column, k: Column) -> Column:
+        end = F.coalesce(F.get(F.col("starts"), k + 1), F.size("lines"))
+        return F.struct(level(at).alias("level"), F.array_join(F.transform(F.slice("lines", at + 1, end - at), lambda s: s["text"]), "\n").alias("text"))
 
-    def runs() -> Column:
-        # Only messages that quote at all are folded.
-        return F.when(F.exists("lines", lambda s: s["level"] > 0), F.filter(F.aggregate("lines", start, lambda a, s: F.when(F.size(a) > 0, take(a, s)).otherwise(F.array(F.struct(s["level"].alias("level"), s["text"].alias("text"))))), lambda p: p["level"] > 0)).otherwise(start)
+    passages = F.when(F.size("starts") > 0, F.filter(F.transform("starts", passage), lambda p: p["level"] > 0)).otherwise(none)
+    return out.withColumn("passages", passages).drop("lines", "starts")
 
-    return out.withColumn("own", own).withColumn("passages", runs()).drop("lines")
+
+def running_max(rows: DataFrame, keys: list[str], at: str, value: Column, upto: int) -> DataFrame:
+    """Adds ``reached``: the largest value of the rows of the same keys at or before ``at + upto``; ``upto`` is 0 or -1.
+
+    Windows are cut into ranges of RANGE turns that take over the maximum of the ranges before, so a conversation of any length is many tasks.
+    """
+    rows = rows.withColumns({"value": value, "range": F.floor(F.col(at) / RANGE)})
+    heads = rows.groupBy(*keys, "range").agg(F.max("value").alias("top"))
+    past = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    heads = heads.select(*[F.col(k).alias(f"h_{k}") for k in [*keys, "range"]], F.max("top").over(past).alias("taken_over"))
+    here = Window.partitionBy(*keys, "range").orderBy(at).rangeBetween(Window.unboundedPreceding, upto)
+    same = [F.col(k) == F.col(f"h_{k}") for k in [*keys, "range"]]
+    both = rows.withColumn("here", F.max("value").over(here)).join(heads, same)
+    return both.withColumn("reached", F.greatest("taken_over", "here")).drop("value", "range", "here", "taken_over", *[f"h_{k}" for k in [*keys, "range"]])
 
 
 def _pieces(text: Column) -> Column:
@@ -79,8 +95,7 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     held = settled(held.join(settled(asked.select("hash").distinct()), "hash", "left_semi").distinct())
     # The nearest earlier holder in the conversation: one running maximum over holders and askers together.
     marks = held.select("conv_id", "hash", "turn", F.col("turn").alias("holder"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("level")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "size", "level"))
-    before = Window.partitionBy("conv_id", "hash").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    found = settled(marks.withColumn("from", F.max("holder").over(before)).where("size is not null").drop("holder"))
+    found = settled(running_max(marks, ["conv_id", "hash"], "turn", F.col("holder"), -1).withColumnRenamed("reached", "from").where("size is not null").drop("holder"))
     near = found.where("from is not null").select("conv_id", "turn", "level", F.lit(0).alias("far"), (-F.col("size")).alias("size"), (-F.col("from")).alias("order"), F.col("conv_id").alias("reply_conv"), F.col("from").alias("reply_turn"))
     # Elsewhere: the least holder of another conversation, which is among the first of the two least conversations.
     first = held.groupBy("hash", "conv_id").agg(F.min("turn").alias("turn"))
@@ -93,12 +108,13 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     out = rows.join(links, ["conv_id", "turn"], "left")
     paths = settled(_branch_paths(links))
     # A message belongs to the last branch of its conversation that started at or before it.
-    starts = paths.select("conv_id", F.col("start").alias("turn"), "path", F.lit(1).alias("mark")).union(placed.select("conv_id", "turn", F.lit(None).cast("array<array<bigint>>"), F.lit(0)).distinct())
-    until = Window.partitionBy("conv_id").orderBy("turn", F.col("mark").desc()).rowsBetween(Window.unboundedPreceding, 0)
     if paths.isEmpty():
         keyed = out.withColumn("path", F.array().cast("array<array<bigint>>"))
     else:
-        within = starts.join(paths.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("path", F.last("path", ignorenulls=True).over(until)).where("mark = 0").select("conv_id", "turn", "path")
+        asked = placed.select("conv_id", "turn").distinct().join(paths.select("conv_id").distinct(), "conv_id", "left_semi")
+        marks = paths.select("conv_id", F.col("start").alias("turn"), F.struct("start", "path").alias("branch"), F.lit(True).alias("mark"))
+        marks = marks.unionByName(asked.select("*", F.lit(None).cast(marks.schema["branch"].dataType).alias("branch"), F.lit(False).alias("mark")))
+        within = running_max(marks, ["conv_id"], "turn", F.col("branch"), 0).where("not mark").select("conv_id", "turn", F.col("reached.path").alias("path"))
         keyed = out.join(within, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<array<bigint>>")))
     key = F.concat("path", F.array(F.array(F.lit(0).cast("long"), F.col("turn"), F.lit(0).cast("long"))))
     return keyed.select(
@@ -119,8 +135,7 @@ def _branch_paths(links: DataFrame) -> DataFrame:
     branch = own.select("conv_id", F.col("turn").alias("start"), F.col("reply_turn").alias("at"))
     # The branch that holds the message it hangs at: the last one that started at or before it.
     marks = branch.select("conv_id", F.col("at").alias("t"), "start", "at", F.lit(None).cast("long").alias("opened")).union(branch.select("conv_id", F.col("start").alias("t"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("start")))
-    upto = Window.partitionBy("conv_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
-    state = marks.withColumn("parent", F.max("opened").over(upto)).where("start is not null")
+    state = running_max(marks, ["conv_id"], "t", F.col("opened"), 0).withColumnRenamed("reached", "parent").where("start is not null")
     state = settled(state.select("conv_id", "start", "parent", F.array(F.array(F.lit(1).cast("long"), -F.col("at"), F.col("start"))).alias("path")))
     while not state.where("parent is not null").isEmpty():
         up = state.select("conv_id", F.col("start").alias("parent"), F.col("parent").alias("above"), F.col("path").alias("head"))

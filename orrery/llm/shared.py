@@ -15,6 +15,25 @@ SOLID_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+_UPPER, _LOWER, _BLANKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "\t\n\x0b\x0c\r"
+_BREAKS = "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != " ")
+
+
+def solid_words(text: Column) -> Column:
+    """The matches of SOLID_WORD, by mapping characters and splitting at spaces: several times faster than the pattern."""
+    return F.array_remove(F.split(F.translate(text, _BLANKS, " " * len(_BLANKS)), " "), "")
+
+
+def alnum_words(text: Column) -> Column:
+    """The matches of ALNUM_WORD, A-Z lower-cased."""
+    return F.array_remove(F.split(F.translate(text, _UPPER + _BREAKS, _LOWER + " " * len(_BREAKS)), " "), "")
+
+
+def solid_chars(text: Column) -> Column:
+    """The text without white space."""
+    return F.translate(text, _BLANKS + " ", "")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one only where none is named and all runs on one machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

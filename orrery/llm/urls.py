@@ -4,8 +4,10 @@ URLs that a rule allows or blocks train one model each: n-gram counts of all
 lengths up to ORDER over host and path, smoothed by Witten-Bell interpolation,
 so that each position is judged in the longest context that its model has seen
 and shorter ones fill in.  A URL's score is the mean difference of the two
-models' log-likelihoods per character.  The threshold is calibrated on the
-labelled URLs: the value with the best balanced accuracy in a histogram.
+models' log-likelihoods per character.  The threshold is calibrated on labelled
+URLs that haven't trained the models that score them, one in HELD by hash: the
+value with the best balanced accuracy in a histogram.  The models that judge
+are trained on all of them.
 
 All of it is DataFrame work.  The log-ratio of a position depends on its last
 ORDER characters only, so it is computed once for each distinct n-gram of that
@@ -27,6 +29,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _START, _END = "\x02", "\x03"
 #: Scores are calibrated in steps of 1 / STEPS, between -LIMIT and LIMIT.
 STEPS, LIMIT = 200, 20
+#: One labelled URL in so many is held out to calibrate.
+HELD = 5
 
 
 @dataclass(frozen=True)
@@ -99,16 +103,27 @@ def calibrate(scored: DataFrame) -> float:
     yes, no = sum(r["yes"] for r in counts), sum(r["no"] for r in counts)
     if not yes or not no:
         return float(-LIMIT) if yes or not no else float(LIMIT)
-    best, threshold, below_yes, below_no = -1.0, 0.0, 0, 0
-    ordered = sorted(counts, key=lambda r: r["step"])
-    for r in ordered:
+    best, threshold, below_yes, below_no, before = -1.0, 0.0, 0, 0, None
+    for r in sorted(counts, key=lambda r: r["step"]):
         accuracy = (yes - below_yes) / yes + below_no / no
-        if accuracy > best:
-            best, threshold = accuracy, r["step"] / STEPS
-        below_yes, below_no = below_yes + r["yes"], below_no + r["no"]
+        if accuracy > best:  # half-way from the scores below, so that what lies between goes to the nearer side
+            best, threshold = accuracy, (r["step"] if before is None else (before + r["step"]) / 2) / STEPS
+        below_yes, below_no, before = below_yes + r["yes"], below_no + r["no"], r["step"]
     return float(threshold)
 
 
+def held_out_threshold(positions: DataFrame, order: int) -> float | None:
+    """The threshold on one labelled URL in HELD, scored by models of the others; None if either part lacks a class."""
+    known = positions.where(F.col("allow").isNotNull()).withColumn("held", F.pmod(F.xxhash64("key", F.lit(31)), F.lit(HELD)) == 0)
+    parts = {(r["held"], r["allow"]) for r in known.select("held", "allow").distinct().collect()}  # four rows
+    if len(parts) < 4:
+        return None
+    counts = known.groupBy("gram").agg(*[F.sum(F.when(~F.col("held") & (F.col("allow") == allow), F.col("n")).otherwise(0)).alias(name) for allow, name in ((True, "n_yes"), (False, "n_no"))])
+    counts = settled(counts)
+    ratios = settled(fit_ratio(counts.where("n_yes + n_no > 0"), counts, order))
+    return calibrate(known.where("held").join(ratios, "gram").groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow")))
+
+
 def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, order: int = ORDER, carry: bool = False) -> DataFrame:
     """Per page: page_id, host, path, rule, score (null where a rule decides), verdict.
 
@@ -129,7 +144,9 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     ratios = settled(fit_ratio(counted.where("n_yes + n_no > 0"), counted, order))
     scores = positions.join(ratios, "gram").groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow"))
     scores = settled(scores)
-    threshold = calibrate(scores.where(F.col("allow").isNotNull()))
+    threshold = held_out_threshold(positions, order)
+    if threshold is None:  # too few labelled URLs to hold any out
+        threshold = calibrate(scores.where(F.col("allow").isNotNull()))
     judged = rows.drop("body").join(scores.select("key", "score"), "key", "left")
     allowed = F.coalesce("allow", F.col("score") >= threshold)
     return judged.select(

@@ -178,3 +178,36 @@ def test_license_windows(spark, tmp_path):
     more = ["\n".join(rng.choice(pool) + " w" * rng.randrange(9) for _ in range(6)) for _ in range(60)]
     found = scan_licenses(spark.createDataFrame(list(enumerate(more)), "doc_id long, text string"), across_lines=True)
     assert {r["doc_id"]: sorted(set(r["labels"]) - set(r["base_labels"])) for r in found.collect()} == {i: [k for k in brute(t) if k not in PHRASES.values()] for i, t in enumerate(more)}
+
+
+def test_license_words_in_prose_are_no_notice(spark, tmp_path):
+    texts = {
+        "The new wing was released to visitors under the old license of the city council last spring": "",
+        "Licensed under the Mozilla license version 2.0": "",
+        "This domain is public, and the work of the mayor is released into it every week": "",
+        "# Licensed under the Apache\n# License, Version 2.0 (the License);\n# you may not use this file except\n# in compliance with the License.": "apache-2.0,apache-header",
+        "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software": "mit-grant",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING": "mit-warranty",
+        "word " * 60000 + "released under the MIT License " + "word " * 60000: "mit",
+    }
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert [got[i]["labels"] for i in range(len(texts))] == list(texts.values()) and got[6]["n_words"] == 120005
+
+
+def test_quality_reruns_agree_and_long_texts(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    assert sorted(judge_quality(docs).select("doc_id", "failed_rule").collect(), key=str) == sorted(judge_quality(docs.repartition(3)).select("doc_id", "failed_rule").collect(), key=str)
+    long = " ".join(f"w{i}" for i in range(200000))
+    got = judge_quality(spark.createDataFrame([(1, long), (2, "same " * 100000)], "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_repeat_words"], r["base_failed"]) for r in got) == [(1, 200000, 0, False), (2, 100000, 100000, True)]
+
+
+def test_url_threshold_is_held_out(spark):
+    """Undecided URLs go with the class whose paths they resemble, though none of the calibrating URLs has trained the models."""
+    rng = __import__("random").Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(12))
+    urls = [f"http://{word('abcde')}.org/{word('abcde')}" for _ in range(150)] + [f"http://{word('vwxyz')}.com/de/{word('vwxyz')}" for _ in range(150)]
+    urls += [f"http://{word('abcde')}.net/{word('abcde')}" for _ in range(20)] + [f"http://{word('vwxyz')}.net/{word('vwxyz')}" for _ in range(20)] + ["http://a.net/" + "abc" * 20000]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert sum(got[i] == "allow" for i in range(300, 320)) >= 18 and sum(got[i] == "block" for i in range(320, 340)) >= 18 and got[340] == "allow"

@@ -85,3 +85,28 @@ def test_deeper_levels_and_several_holders(spark):
     got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("reply_turn is not null")
     reply = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in got.collect()}
     assert reply == {(4, 2): (4, 0), (4, 3): (4, 1), (4, 4): (4, 1), (8, 0): (3, 1), (6, 0): (3, 1), (3, 0): (6, 1)}
+
+
+def test_long_messages_and_conversations(spark):
+    """A message of 60,000 quoted lines, and a conversation over several ranges of turns, against a plain search."""
+    from orrery.llm.quotes import RANGE
+
+    rows = [("big", 0, "user", "\n".join(f"line {i}" for i in range(60000))), ("big", 1, "user", "\n".join(("> " if i // 7 % 2 else ">> ") + f"line {i}" for i in range(60000)))]
+    turns = 3 * RANGE
+    rows += [("long", t, "user", f"text number {t}" if t % 1000 else f"> text number {max(t - 5001, 1)}\nanswer {t}") for t in range(1, turns)]
+    got = {(r["conv_id"], r["turn"]): r for r in link_quotations(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()}
+    assert got["big", 1]["n_quotes"] == -(-60000 // 7) and got["big", 1]["levels"] == 2 and got["big", 1]["text"] == ""
+    for t in range(1000, turns, 1000):
+        assert (got["long", t]["reply_conv"], got["long", t]["reply_turn"]) == ("long", max(t - 5001, 1)), t
+    opened = {t: max(t - 5001, 1) for t in range(1000, turns, 1000)}
+
+    def path(t):
+        start = max((s for s in opened if s <= t), default=None)
+        return [] if start is None else [*path_of(start)]
+
+    def path_of(start):
+        above = max((s for s in opened if s <= opened[start]), default=None)
+        return [*(path_of(above) if above else []), [1, -opened[start], start]]
+
+    for t in range(1, turns, 37):
+        assert got["long", t]["reply_key"] == [*path(t), [0, t, 0]], t

@@ -71,3 +71,24 @@ def test_long_and_letters_only_secrets(spark):
     for r in find_pii(docs, redact=False).where("doc_id < 0").collect():
         text, secret = new[r["doc_id"]]
         assert [text[s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "secret"] == ([secret] if secret else [])
+
+
+def test_long_texts_take_linear_time():
+    """A megabyte of letters, digits, dots, at signs or signs of a phone, and what it does to leftmost matches."""
+    import time
+
+    from orrery.llm.pii import BASE, _valid, base_spans, candidates
+
+    n = 1_000_000
+    for body in ("a" * n + "@b.co", "1" * n, "1." * (n // 2), "a@" * (n // 2), "+1 " * (n // 3), "1 2-" * (n // 4), "x" * n + " 10.2.3.4 " + "9" * n, "a.b-" * (n // 4) + "@"):
+        began = time.perf_counter()
+        found = base_spans(body)
+        assert time.perf_counter() - began < 4, body[:20]
+        list(candidates(body, [x for v in found.values() for x in v]))
+        assert time.perf_counter() - began < 8, body[:20]
+    import random
+
+    rng = random.Random(2)
+    for _ in range(3000):
+        body = "".join(rng.choice("aB1239.@-+ %)é_") for _ in range(rng.randrange(60)))
+        assert base_spans(body) == {k: [m.span() for m in p.finditer(body) if _valid(k, m[0])] for k, p in BASE.items()}, body
