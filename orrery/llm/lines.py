@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import forget, parallel, settled, shared_folder, whole_row
+from orrery.llm.shared import forget, parallel, settled, shared_folder, small_batches, whole_row
 
 _FOLD = bytes(range(0x41)) + bytes(range(0x61, 0x7B)) + bytes(range(0x5B, 256))
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -156,6 +156,7 @@ def drop_shared_lines(docs: DataFrame, common: int = 3, least: int = 20, batches
     gives a row.  Rows without doc_id hold nothing: they lose every common line.  Other columns don't matter.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cuts = sorted(set(docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01))) if batches > 1 else []  # a few numbers
     batch = F.lit(0)
     for cut in cuts:
