@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.calendar import month_of
 from orrery.operators.spatial import clusters, dominant, enrichment, variation
 
 
-def cube(assigned: DataFrame) -> DataFrame:
-    """(month, cell_id, label, n); persist it where several reports read it."""
-    return assigned.groupBy(month_of(F.col("file_id")).alias("month"), "cell_id", "label").agg(F.count(F.lit(1)).alias("n"))
+def cube(assigned: DataFrame, *more: Column) -> DataFrame:
+    """(month, cell_id, label, n, and further aggregates); persist it where several reports read it."""
+    return assigned.groupBy(month_of(F.col("file_id")).alias("month"), "cell_id", "label").agg(F.count(F.lit(1)).alias("n"), *more)
 
 
 def monthly_dominant(months: DataFrame) -> DataFrame:

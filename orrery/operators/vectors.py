@@ -33,6 +33,19 @@ def nearest(distances: DataFrame) -> DataFrame:
     return best.select("token_id", "label", "best.cluster", "best.residual")
 
 
+def assign_in_row(rows: DataFrame, model: DataFrame, places: int = 9) -> DataFrame:
+    """All columns of ``rows`` (with features), and cluster and residual of the nearest mean: no row is multiplied or shuffled.
+
+    The model (cluster, mean) is packed into one broadcast row, so it has to be of bounded size.  Residuals are compared
+    at ``places`` decimals, the least cluster wins ties; both columns are null under a model without rows.
+    """
+    packed = model.agg(F.sort_array(F.collect_list(F.struct("cluster", "mean"))).alias("model_"))
+    gap = lambda m: F.aggregate(F.zip_with("features", m["mean"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("model_", lambda m: F.struct(F.round(gap(m), places).alias("residual"), m["cluster"].alias("cluster"))))
+    out = rows.crossJoin(F.broadcast(packed)).withColumn("best_", best)  # one row
+    return out.withColumns({"cluster": F.col("best_.cluster"), "residual": F.col("best_.residual")}).drop("model_", "best_")
+
+
 def objective(best: DataFrame) -> DataFrame:
     """(n, objective, per_token): residuals under zero count as zero."""
     return best.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest("residual", F.lit(0.0))).alias("objective"), F.avg(F.greatest("residual", F.lit(0.0))).alias("per_token"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,35 @@ from pyspark.sql import functions as F
 from orrery.sources import schema as S
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is named and all runs on one machine (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="orrery-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def _placed(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there such a file or folder, in whatever store the path names?"""
+    files, place = _placed(spark, path)
+    return files.exists(place)
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    files, place = _placed(spark, path)
+    return files.exists(place) and files.getFileStatus(place).isFile()
+
+
 def read_tokens(spark: SparkSession, path: str, dim: int) -> DataFrame:
     """Tokens of exactly ``dim`` features; another length fails the read."""
     tokens = spark.read.schema(S.TOKENS).parquet(path)
@@ -69,9 +99,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def backfill_manifest(spark: SparkSession, run: DataFrame, path: str, tokens_per_file: int, seed: int, src: str) -> bool:
     """Writes the manifest of a run that has none yet; tells whether it did."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if exists(spark, path):
         return False
     row = run.select("fingerprint", "files").first()
     write_json(spark, {"fingerprint": row["fingerprint"], "num_files": len(row["files"]), "tokens_per_file": tokens_per_file, "seed": seed, "src": src, "files": row["files"]}, path)
