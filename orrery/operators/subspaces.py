@@ -2,11 +2,11 @@
 
 A model is small (clusters x dim x features) and is broadcast anew in every
 round.  A sweep is one map: each partition multiplies its tokens in blocks
-with all bases at once, assigns them and keeps the moments of its clusters; it
-emits them once, in row blocks, and two grouped sums merge them, the first
-over bounded groups of partitions.  Tokens are never shuffled.  Whether a label
-has changed is found by assigning under the previous model in the same pass,
-so that no state has to be kept between rounds and a lost executor costs one task.
+with all bases at once, assigns them and sums the moments of its clusters in
+bounded memory (``gram``); two steps merge what it sends, the first over bounded
+groups of partitions.  Whether a label has changed is found by assigning under
+the previous model in the same pass, so that no state has to be kept between
+rounds and a lost executor costs one task.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators import gram
 from orrery.operators.sampling import hash_order
 from orrery.sources.schema import MODEL, FitConfig
 
-#: Rows of a second-moment matrix in one emitted block, and partitions merged at once.
-BLOCK_ROWS, FAN_IN = 64, 64
+#: Bytes of the products of one block of tokens with all bases.
+PRODUCT_BYTES = 64 << 20
 
 
 @dataclass
@@ -85,27 +86,32 @@ def matrix(column: pa.ListArray) -> np.ndarray:
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Batches cut so that the products with the model's bases stay small."""
+    k, d, width = model.bases.shape
+    rows = min(4096, max(64, PRODUCT_BYTES // (8 * max(k * d, width))))
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             part = batch.slice(lo, rows)
             yield part, matrix(part.column("features"))
 
 
-def _sweep(model, before, second: bool):
+def _sweep(model, before, second: bool, floats: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         now, old = model.value, before.value if before else None
         k, width = now.means.shape
         n, obj, changed, sq = np.zeros(k, np.int64), np.zeros(k), np.zeros(k, np.int64), np.zeros(k)
-        sums, squares = np.zeros((k, width)), np.zeros((k, width, width)) if second else None
-        for _, x in _blocks(batches):
+        sums, grams = np.zeros((k, width)), gram.Grams(width, floats)
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        sender = gram.Sender(part // gram.FAN_IN, part)
+        for _, x in _blocks(batches, now):
             if not len(x):
                 continue
             best, r = now.assign(x)
             last = old.assign(x)[0] if old else np.full(len(x), -1)
-            for c in np.unique(best):
+            for c in np.unique(best).tolist():
                 at = best == c
                 y = x[at]
                 n[c] += len(y)
@@ -114,68 +120,50 @@ def _sweep(model, before, second: bool):
                 sums[c] += y.sum(axis=0)
                 sq[c] += np.einsum("td,td->", y, y)
                 if second:
-                    squares[c] += y.T @ y
-        lane = TaskContext.get().partitionId() // FAN_IN
-        out: dict[str, list] = {c: [] for c in ("cluster", "block", "lane", "n", "changed", "obj", "sq", "values")}
-
-        def emit(c: int, block: int, values: np.ndarray) -> None:
-            head = block < 0
-            for name, v in zip(out, (int(c), block, lane, int(n[c]) if head else 0, int(changed[c]) if head else 0, float(obj[c]) if head else 0.0, float(sq[c]) if head else 0.0, values.ravel().tobytes()), strict=True):
-                out[name].append(v)
-
+                    for sent in grams.add(c, y):
+                        yield from sender.put(*sent)
+        for sent in grams.finish():
+            yield from sender.put(*sent)
         for c in np.flatnonzero(n):
-            emit(c, -1, sums[c])
-            if second:
-                for b in range(0, width, BLOCK_ROWS):
-                    emit(c, b // BLOCK_ROWS, squares[c, b : b + BLOCK_ROWS])
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-        yield pa.record_batch([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
+            yield from sender.put(c, gram.HEAD, sums[c], n[c], changed[c], obj[c], sq[c])
+        yield from sender.flush()
 
     return run
 
 
-_PARTIAL = "cluster int, block int, lane int, n long, changed long, obj double, sq double, values binary"
-
-
-def _summed(pdf):
-    import pandas as pd
-
-    pdf = pdf.sort_values(["n", "obj"], kind="stable")  # the same order of addition whatever the arrival
-    total = sum((np.frombuffer(v) for v in pdf["values"]), np.zeros(len(pdf["values"].iloc[0]) // 8))
-    first = pdf.iloc[0]
-    return pd.DataFrame([(first["cluster"], first["block"], first["lane"], pdf["n"].sum(), pdf["changed"].sum(), pdf["obj"].sum(), pdf["sq"].sum(), total.tobytes())], columns=list(pdf.columns))
-
-
-def moments(tokens: DataFrame, model: Model, before: Model | None, second: bool) -> DataFrame:
-    """(cluster, block, n, changed, obj, sq, values): sums in block -1, second moments in row blocks."""
+def moments(tokens: DataFrame, model: Model, before: Model | None, second: bool, close=gram.heads, schema: str = gram.HEADS) -> DataFrame:
+    """``close`` of each cluster's counts, sums and (if ``second``) second moments under the model; counts and sums by default."""
     context = tokens.sparkSession.sparkContext
     shared, old = context.broadcast(model), context.broadcast(before) if before else None
-    partial = tokens.select("features").mapInArrow(_sweep(shared, old, second), _PARTIAL)
-    lanes = partial.groupBy("cluster", "block", "lane").applyInPandas(_summed, _PARTIAL)
-    return lanes.withColumn("lane", F.lit(0)).groupBy("cluster", "block").applyInPandas(_summed, _PARTIAL)
+    floats = tokens.schema["features"].dataType.elementType.typeName() == "float"
+    partial = tokens.select("features").mapInArrow(_sweep(shared, old, second, floats), gram.PARTIAL)
+    return gram.met(partial, model.means.shape[1], close, schema, floats)
 
 
-def _principal(dim: int, linear: bool):
-    def run(pdf):
-        import pandas as pd
+def second_moments(tokens: DataFrame, model: Model) -> DataFrame:
+    """(cluster, i, j, value), i <= j: sums of products of two features over the tokens assigned to a cluster."""
+    return moments(tokens, model, None, True, gram.entries, gram.ENTRIES)
+
 
-        pdf = pdf.sort_values("block")
-        head = pdf.iloc[0]
-        n, mean = int(head["n"]), np.frombuffer(head["values"]) / head["n"]
+def _principal(dim: int, linear: bool):
+    def close(found: gram.Met) -> Iterator[pa.RecordBatch]:
+        n, mean = found.n, found.sum / found.n
         if linear:
             mean = np.zeros_like(mean)
-        width = len(mean)
-        eig, basis = np.zeros(0), np.zeros((0, width))
-        trace = max(head["sq"] / n - mean @ mean, 0.0)
+        eig, basis = np.zeros(0), np.zeros((0, len(mean)))
+        trace = max(found.sq / n - mean @ mean, 0.0)
         if dim:
-            c = np.concatenate([np.frombuffer(v).reshape(-1, width) for v in pdf["values"].iloc[1:]]) / n - np.outer(mean, mean)
-            values, vectors = np.linalg.eigh((c + c.T) / 2)
+            values, vectors = np.linalg.eigh(found.grams.whole(found.cluster) / n - np.outer(mean, mean))
             eig, basis = np.maximum(values[::-1][:dim], 0.0), vectors[:, ::-1][:, :dim].T
             largest = np.abs(basis).argmax(axis=1)
             basis = basis * np.where(basis[np.arange(dim), largest] < 0, -1.0, 1.0)[:, None]
-        return pd.DataFrame([(int(head["cluster"]), n, int(head["changed"]), float(head["obj"]), float(trace), mean.tobytes(), eig.tobytes(), basis.tobytes())], columns=["cluster", "n", "changed", "obj", "trace", "mean", "eig", "basis"])
+        numbers = {"cluster": pa.array([found.cluster], pa.int32()), "n": pa.array([n], pa.int64()), "changed": pa.array([found.changed], pa.int64()), "obj": [found.obj], "trace": [float(trace)]}
+        yield pa.record_batch(numbers | {name: pa.array([v.tobytes()], pa.binary()) for name, v in (("mean", mean), ("eig", eig), ("basis", basis))})
 
-    return run
+    return close
+
+
+_PRINCIPAL = "cluster int, n long, changed long, obj double, trace double, mean binary, eig binary, basis binary"
 
 
 def seeds(tokens: DataFrame, k: int, seed: int) -> DataFrame:
@@ -234,7 +222,7 @@ def fit(tokens: DataFrame, cfg: FitConfig) -> Model:
     model = Model(means, bases, np.zeros((k, cfg.dim)), np.zeros(k), np.zeros(k, int), np.zeros(k, bool), cfg.linear)
     before, history = None, []
     for step in range(1, cfg.iters + 1):
-        grouped = moments(tokens, model, before, cfg.dim > 0).groupBy("cluster").applyInPandas(_principal(cfg.dim, cfg.linear), "cluster int, n long, changed long, obj double, trace double, mean binary, eig binary, basis binary")
+        grouped = moments(tokens, model, before, cfg.dim > 0, _principal(cfg.dim, cfg.linear), _PRINCIPAL)
         got = {r["cluster"]: r for r in grouped.collect()}  # one row a cluster
         total = sum(r["n"] for r in got.values())
         new = Model(model.means.copy(), model.bases.copy(), model.eigvals.copy(), model.trace.copy(), np.zeros(k, int), np.zeros(k, bool), cfg.linear)
@@ -251,7 +239,7 @@ def fit(tokens: DataFrame, cfg: FitConfig) -> Model:
         before, model = model, new
         if history[-1]["frac_changed"] < cfg.tol:
             break
-    last = moments(tokens, model, None, False).where("block = -1").select("cluster", "n", "obj").collect()
+    last = moments(tokens, model, None, False).select("cluster", "n", "obj").collect()  # one row a cluster
     model.counts = np.zeros(k, int)
     for r in last:
         model.counts[r["cluster"]] = r["n"]
@@ -265,13 +253,14 @@ def assigned(tokens: DataFrame, model: Model) -> DataFrame:
     shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch, x in _blocks(batches):
-            m = shared.value
+        for batch, x in _blocks(batches, m := shared.value):
             r, away = m.residuals(x)
             best = r.argmin(axis=1)
             at = np.arange(len(x))
             y = x if m.linear else x - m.means[best]
-            p = np.einsum("tij,tj->ti", m.bases[best], y)
+            p = np.zeros((len(x), m.dim))
+            for c in np.unique(best) if m.dim else ():
+                p[best == c] = y[best == c] @ m.bases[c].T
             yield pa.record_batch({
                 "file_id": batch.column("file_id"), "cell_id": batch.column("cell_id"), "label": pa.array(best, pa.int32()), "residual": pa.array(r[at, best]),
                 "within": pa.array(away[at, best]), "coords": pa.array(list(p), pa.list_(pa.float64())),

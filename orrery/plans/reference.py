@@ -352,6 +352,14 @@ def cluster_moments(spark, d):
     return rounded(long.groupBy("cluster", "dim").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("sum_x")))
 
 
+@query(f"""WITH {DIST} SELECT CAST(cluster AS INTEGER) AS cluster, CAST(i - 1 AS INTEGER) AS i, CAST(j - 1 AS INTEGER) AS j, round(sum(features[i] * features[j]), 6) AS value
+FROM best JOIN tokens USING (token_id), (SELECT unnest(range(1, 65)) AS i) x, (SELECT unnest(range(1, 65)) AS j) y WHERE i <= j GROUP BY ALL""")
+def second_moments(spark, d):
+    """Under the centroids of the labels, as the sweep of a fit assigns and sums them."""
+    model = subspaces.model_from(_point_model(spark, d).withColumns({"basis": F.array().cast("array<array<double>>"), "reseeded": F.lit(False)}))
+    return rounded(subspaces.second_moments(X.tokens(spark, d), model))
+
+
 @query(f"WITH {TRACE} SELECT CAST(cluster AS INTEGER) AS cluster, n, round(trace, 6) AS trace FROM model")
 def mean_trace_update(spark, d):
     return rounded(_point_model(spark, d).select("cluster", "n", "trace"))
