@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ def fingerprint(files: DataFrame, tokens_per_file: int, seed: int | None) -> Dat
     return files.agg(F.substring(F.sha1(F.concat(F.lit(head), ids)), 1, 12).alias("fingerprint"))
 
 
+def fingerprint_of(files: list[int], tokens_per_file: int | None, seed: int | None) -> str:
+    """The same of a list on the driver; of whole files where tokens per file is None."""
+    head = f"{'' if tokens_per_file is None else tokens_per_file}|" + ("" if seed is None else f"{seed}|")
+    return hashlib.sha1((head + ",".join(map(str, sorted(set(files))))).encode()).hexdigest()[:12]
+
+
 def estimate_bytes(tokens: DataFrame, dim: int, width: int = 2) -> DataFrame:
     """(n_tokens, bytes) that the features take at ``width`` bytes each."""
     return tokens.agg(F.count(F.lit(1)).alias("n_tokens"), (F.count(F.lit(1)) * dim * width).alias("bytes"))

@@ -5,15 +5,18 @@ Computed doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import calendar, healpix
+from orrery.functions.vectors import squared_norm as norm_of
 from orrery.operators import affinity, compare, holdout, sampling, spatial, subspaces, temporal, variance, vectors
 from orrery.sources import fixtures as X
-from orrery.sources.schema import FitConfig
+from orrery.sources import load, store
+from orrery.sources.schema import FitConfig, LoadConfig
 
 K, CELLS, FILES, NSIDE = X.CLUSTERS, X.CELLS, 13021, X.NSIDE
 TOKEN_K = X.TOKEN_CLUSTERS
@@ -273,6 +276,18 @@ def content_fingerprint(spark, d):
     return sampling.fingerprint(_sample(spark, d), 12288, None)
 
 
+@query(f"""WITH {TOKENS}, picked AS (SELECT file_id, row_number() OVER (ORDER BY md5(concat_ws('|', file_id, 7)), file_id) - 1 AS rank FROM (SELECT DISTINCT file_id FROM tokens)),
+six AS (SELECT * FROM picked WHERE rank < 6), named AS (SELECT substr(sha1('20|7|' || string_agg(CAST(file_id AS VARCHAR), ',' ORDER BY file_id)), 1, 12) AS fingerprint FROM six),
+drawn AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {CELL_KEY}, cell_id) AS draw FROM tokens JOIN six USING (file_id))
+SELECT file_id, cell_id, CAST(rank AS INTEGER) AS rank, fingerprint, round(list_sum(list_transform(features, lambda x: x * x)), 6) AS sq FROM drawn, named WHERE draw <= 20""")
+def load_tokens(spark, d):
+    """From a table written by file to the tokens of six sampled files, twenty of each."""
+    place = f"{store.shared_folder(spark)}/load-{uuid.uuid4().hex}"
+    load.write_token_table(X.tokens(spark, d), f"{place}/tokens")
+    found = load.load_tokens(spark, f"{place}/tokens", LoadConfig(num_files=6, tokens_per_file=20, seed=7, dim=X.TOKEN_DIM), place)
+    return rounded(found.tokens.select("file_id", "cell_id", "rank", "fingerprint", norm_of(F.col("features").cast("array<double>")).alias("sq")))
+
+
 @query(f"WITH {TOKENS} SELECT count(*) AS n_tokens, count(*) * 64 * 2 AS bytes FROM tokens")
 def ram_estimate(spark, d):
     return sampling.estimate_bytes(X.tokens(spark, d), X.TOKEN_DIM)

@@ -23,6 +23,21 @@ MANIFEST = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructF
 N_FILES, N_CELLS, DIM = 13021, 12288, 2048
 
 
+@dataclass(frozen=True)
+class LoadConfig:
+    """Settings of a load: which files of a token table, and how much of each."""
+
+    num_files: int = 1500
+    tokens_per_file: int | None = None
+    seed: int = 0
+    dim: int = DIM
+    n_cells: int | None = None
+    n_files_total: int | None = None
+    files_from: str | None = None
+    files_per_folder: int = 1
+    max_bytes: int | None = None
+
+
 @dataclass(frozen=True)
 class FitConfig:
     """Settings of a fit; dim 0 is k-means, linear subspaces pass through the origin."""
