@@ -70,24 +70,55 @@ def top_pairs(pairs: DataFrame, top: int = 12) -> DataFrame:
     return pairs.orderBy(F.desc(F.round("affinity", 9)), "i", "j").limit(top)
 
 
-def seriation(affinity: np.ndarray) -> np.ndarray:
-    """Each cluster's rank on the line that places alike clusters close together.
-
-    The line is the slowest mode of a random walk that moves between clusters
-    in proportion to their affinity: the right eigenvector of its transition
-    matrix after the constant one.  The constant mode is deflated, so the mode
-    is the leading one of what is left, also where the walk falls into parts.
-    The largest coordinate is positive.
+def slowest_mode(weight: np.ndarray) -> np.ndarray:
+    """The eigenvector of the second smallest eigenvalue of the symmetric normalised Laplacian of a weighted graph.
+
+    The smallest has the roots of the degrees; with that deflated, the wanted one is the leading one of the
+    normalised weights.  Lanczos with full orthogonalisation finds it; where its space ends early (parts that aren't
+    linked, repeated eigenvalues), it goes on from a fresh direction, so the result is exact for any graph.
+    """
+    k = len(weight)
+    root = np.sqrt(np.maximum(weight.sum(axis=1), 1e-12))
+    normal = weight / root[:, None] / root
+    known = [root / np.linalg.norm(root)]  # and the Lanczos vectors after it
+    rng = np.random.default_rng(0)
+    diagonal, beside = [], []
+
+    def away(v: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            v = v - np.array(known).T @ (np.array(known) @ v)
+        return v
+
+    v, link = away(rng.standard_normal(k)), 0.0
+    while len(known) < k:
+        known.append(v / np.linalg.norm(v))
+        if diagonal:
+            beside.append(link)
+        w = normal @ known[-1]
+        diagonal.append(float(known[-1] @ w))
+        v = away(w)
+        link = float(np.linalg.norm(v))
+        if link < 1e-10:
+            v, link = away(rng.standard_normal(k)), 0.0
+    modes = np.linalg.eigh(np.diag(diagonal) + np.diag(beside, 1) + np.diag(beside, -1))[1]
+    return np.array(known[1:]).T @ modes[:, -1]
+
+
+def seriation(affinity: np.ndarray, walk: bool = True) -> np.ndarray:
+    """Each cluster's rank along the slowest mode of the affinities (diagonal left out); its largest coordinate is positive.
+
+    Without ``walk`` the mode is the Fiedler vector itself, by which maps and the registered query order and colour
+    clusters; with it, each coordinate is divided by the root of the cluster's degree (the mode of a random walk
+    between clusters), which also keeps the weakly linked ends of a chain in their place.
     """
     k = len(affinity)
     if k < 3:
         return np.arange(k)
     weight = np.array(affinity, float)
     np.fill_diagonal(weight, 0)
-    visits = np.maximum(weight.sum(axis=1), 1e-12)
-    walk = weight / visits[:, None] - visits / visits.sum()  # without the constant mode
-    values, modes = np.linalg.eig(walk)
-    line = modes[:, values.real.argmax()].real
+    line = slowest_mode(weight)
+    if walk:
+        line = line / np.sqrt(np.maximum(weight.sum(axis=1), 1e-12))
     if line[np.abs(line).argmax()] < 0:
         line = -line
     return np.argsort(np.argsort(line, kind="stable"), kind="stable")
@@ -118,5 +149,5 @@ def turbo(t: np.ndarray) -> np.ndarray:
 def colours(affinity: np.ndarray) -> np.ndarray:
     """RGBA by seriation rank; a single cluster has the middle colour."""
     k = len(affinity)
-    t = seriation(affinity) / (k - 1) if k > 1 else np.array([0.5])
+    t = seriation(affinity, walk=False) / (k - 1) if k > 1 else np.array([0.5])
     return np.concatenate([turbo(t), np.ones((k, 1))], axis=1)

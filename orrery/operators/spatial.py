@@ -37,12 +37,18 @@ def owned_cells(assigned: DataFrame, k: int) -> DataFrame:
 
 
 def cells_at_half(assigned: DataFrame, k: int, n_cells: int) -> DataFrame:
-    """(label, cells50): how few cells hold half of a cluster; n_cells + 1 for an empty one."""
-    counts = cell_cluster_counts(assigned)
-    down = Window.partitionBy("label").orderBy(F.desc("n"), "cell_id").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy("label")
-    marked = counts.select("label", F.sum("n").over(down).alias("cum"), F.sum("n").over(every).alias("total"))
-    half = marked.groupBy("label").agg((F.count_if(2 * F.col("cum") < F.col("total")) + 1).alias("cells50"))
+    """(label, cells50): how few cells hold half of a cluster; n_cells + 1 for an empty one.
+
+    Cells of equal count are alike, so the running sum goes over a histogram (count, cells of that count), of which a
+    cluster of N tokens has fewer than sqrt(2 N) rows, not over its cells.
+    """
+    histogram = cell_cluster_counts(assigned).groupBy("label", "n").agg(F.count(F.lit(1)).alias("cells"))
+    size = F.col("n") * F.col("cells")
+    above = Window.partitionBy("label").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    marked = histogram.select("label", "n", "cells", F.coalesce(F.sum(size).over(above), F.lit(0)).alias("before"), F.sum(size).over(Window.partitionBy("label")).alias("total"))
+    left = F.col("total") - 2 * F.col("before")
+    under = F.when(left > 0, F.least(F.col("cells"), F.floor((left - 1) / (2 * F.col("n"))))).otherwise(0)  # of these cells, those with less than half up to and with them
+    half = marked.groupBy("label").agg((F.sum(under) + 1).alias("cells50"))
     return clusters(assigned, k).join(half, "label", "left").select("label", F.coalesce("cells50", F.lit(n_cells + 1)).cast("long").alias("cells50"))
 
 

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.operators import gram
@@ -285,3 +285,105 @@ def farthest_points(tokens: DataFrame, k: int, seed: int = 0) -> Model:
         at = tokens.where((F.col("file_id") == far["file_id"]) & (F.col("cell_id") == far["cell_id"])).select("features").first()
         centres.append(np.array(at["features"], float))
     return Model(np.array(centres), np.zeros((k, 0, len(centres[0]))), np.zeros((k, 0)), np.zeros(k), np.zeros(k, int), np.zeros(k, bool))
+
+
+#: Bytes of the tokens of which one core-set is picked, and core-sets that meet in one task.
+CORE_BYTES, CORE_FAN = 64 << 20, 64
+
+
+def farthest_first(x: np.ndarray, k: int) -> np.ndarray:
+    """Rows of at most k points: the first, then always the farthest from those so far (the earliest on ties), without repeats."""
+    chosen, away = [0], ((x - x[0]) ** 2).sum(axis=1)
+    while len(chosen) < min(k, len(x)):
+        far = int(away.argmax())
+        if away[far] <= 0:
+            break
+        chosen.append(far)
+        away = np.minimum(away, ((x - x[far]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+_CORE = "lane long, file_id int, cell_id int, features array<double>"
+
+
+def _cores(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        held: list[pa.RecordBatch] = []
+        lane = TaskContext.get().partitionId() << 32
+
+        def core() -> pa.RecordBatch:
+            nonlocal lane
+            rows = pa.Table.from_batches(held).sort_by([("file_id", "ascending"), ("cell_id", "ascending")]).combine_chunks()
+            x = matrix(rows.column("features").combine_chunks())
+            rows = rows.take(pa.array(farthest_first(x, k)))
+            held.clear()
+            lane += 1
+            out = {"lane": pa.array(np.full(len(rows), lane), pa.int64())} | {c: rows.column(c).combine_chunks() for c in ("file_id", "cell_id")}
+            return pa.record_batch(out | {"features": rows.column("features").combine_chunks().cast(pa.list_(pa.float64()))})
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= CORE_BYTES:
+                yield core()
+        if any(b.num_rows for b in held):
+            yield core()
+
+    return run
+
+
+def _core_of_cores(k: int):
+    def run(pdf):
+        pdf = pdf.sort_values(["file_id", "cell_id"], kind="stable")
+        return pdf.iloc[farthest_first(np.stack(pdf["features"].to_list()), k)]
+
+    return run
+
+
+def core_centres(tokens: DataFrame, k: int) -> tuple[Model, int]:
+    """k-center in one pass over the tokens: centres, and the levels of core-sets they have gone through.
+
+    Every ``CORE_BYTES`` of tokens give the k farthest of them; ``CORE_FAN`` such core-sets together give k again, until
+    one is left.  Each level moves a token by at most twice the best radius, so the radius is at most 2 x levels times
+    the best one, and so at most 2 x levels times that of the greedy choice over all tokens, which reads them k
+    times.  Repeated tokens give fewer centres.
+    """
+    cores = tokens.select("file_id", "cell_id", "features").mapInArrow(_cores(k), _CORE).persist()
+    kept, levels = [cores], 1
+    try:
+        blocks = cores.select("lane").distinct().count()
+        while blocks > 1:
+            lanes = -(-blocks // CORE_FAN)
+            met = kept[-1].withColumn("lane", F.pmod(F.xxhash64("lane"), F.lit(lanes)) if lanes > 1 else F.lit(0).cast("long"))
+            kept.append(met.groupBy("lane").applyInPandas(_core_of_cores(k), _CORE).persist())
+            blocks, levels = kept[-1].select("lane").distinct().count(), levels + 1
+        found = kept[-1].orderBy("file_id", "cell_id").collect()  # k tokens
+    finally:
+        for df in kept:
+            df.unpersist()
+    centres = np.array([r["features"] for r in found], float) if found else np.zeros((0, 0))
+    n = len(centres)
+    return Model(centres, np.zeros((n, 0, centres.shape[1])), np.zeros((n, 0)), np.zeros(n), np.zeros(n, int), np.zeros(n, bool)), levels
+
+
+def reseed_plan(sizes: DataFrame, cfg: FitConfig) -> DataFrame:
+    """(cluster, n, tiny, donor) from (cluster, n): the i-th cluster under the least size takes the i-th largest of twice that size; one row a cluster."""
+    ranked = lambda rows, *order: rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # noqa: E731  K rows
+    tiny = ranked(sizes.where(F.col("n") < cfg.least), "cluster").select("cluster", "rank")
+    donors = ranked(sizes.where(F.col("n") >= 2 * cfg.least), F.desc("n"), "cluster").select(F.col("cluster").alias("donor"), "rank")
+    pairs = tiny.join(donors, "rank", "left").select("cluster", "donor")
+    return sizes.join(pairs, "cluster", "left").select("cluster", "n", (F.col("n") < cfg.least).alias("tiny"), "donor")
+
+
+def split_rows(model: DataFrame, plan: DataFrame) -> DataFrame:
+    """(cluster, source, mean, basis, eigvals): both sides of every split, one deviation along the donor's first axis to each side.
+
+    The tiny cluster takes the lower side, its donor the upper; both have the donor's axes.
+    """
+    pairs = plan.where("tiny and donor is not null").select(F.col("cluster").alias("tiny"), "donor")
+    sides = pairs.select("donor", F.explode(F.array(F.struct(F.col("tiny").alias("cluster"), F.lit(-1.0).alias("sign")), F.struct(F.col("donor").alias("cluster"), F.lit(1.0).alias("sign")))).alias("side"))
+    rows = sides.join(model.select(F.col("cluster").alias("donor"), "mean", "basis", "eigvals"), "donor")
+    step = F.col("side.sign") * F.sqrt(F.element_at("eigvals", 1))
+    moved = F.zip_with("mean", F.element_at("basis", 1), lambda m, u: m + step * u)
+    return rows.select("side.cluster", F.col("donor").alias("source"), moved.alias("mean"), "basis", "eigvals")

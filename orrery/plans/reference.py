@@ -680,7 +680,7 @@ def kcenter_radius(spark, d):
 @query()
 def seriation_rank(spark, d):
     matrix = affinity.affinity_matrix(_fitted(spark, d)[1])
-    rank, colour = affinity.seriation(matrix), affinity.colours(matrix)
+    rank, colour = affinity.seriation(matrix, walk=False), affinity.colours(matrix)
     return spark.createDataFrame([(i, int(r), *map(float, c)) for i, (r, c) in enumerate(zip(rank, colour, strict=True))], "cluster int, rank int, r double, g double, b double, a double")
 
 

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+import orrery.plans.literal  # noqa: F401  registers its queries
 from orrery.plans.reference import ORACLES, QUERIES
 
 
