@@ -19,6 +19,21 @@ def replay(tokens: DataFrame, model: Model) -> DataFrame:
     )
 
 
+def document(found: DataFrame, rows: DataFrame, files: int, objective: DataFrame, linear: bool = False) -> DataFrame:
+    """The nested result of an evaluation: sums per token beside the in-sample decomposition and the objective (one row each)."""
+    inside = decomposition(rows, linear).select("total", "residual", F.col("residual_share").alias("residual_frac"))
+    per_token = [(F.col(f"held.{c}") / F.col("held.n")).alias(c) for c in ("total", "residual", "within", "captured")]
+    row = found.alias("held").crossJoin(inside.alias("inside")).crossJoin(objective.select("final_obj_per_token"))
+    held = F.struct(*per_token, F.col("held.held_out").alias("residual_frac"), F.col("held.modeled").alias("modeled_frac"))
+    return row.select(F.lit(files).alias("num_holdout_files"), F.col("held.n").alias("num_holdout_tokens"), held.alias("holdout"), F.struct("inside.total", "inside.residual", "inside.residual_frac", "final_obj_per_token").alias("in_sample"))
+
+
+def objective_of(run: DataFrame, history: DataFrame) -> DataFrame:
+    """(final_obj_per_token): of the run's last assignment, else the last of its history, else null."""
+    last = history.agg(F.max_by("obj_per_token", "iter").alias("last"))
+    return run.select(F.col("final_obj_per_token").alias("final")).limit(1).crossJoin(last).select(F.coalesce("final", "last").alias("final_obj_per_token"))  # one row each
+
+
 def evaluate(tokens: DataFrame, model: Model, rows: DataFrame) -> DataFrame:
     """One row: tokens, held-out residual share of the variance about the model's mean, in-sample share, gap, verdict."""
     overall = (model.means * model.counts[:, None]).sum(axis=0) / max(model.counts.sum(), 1) * (0 if model.linear else 1)

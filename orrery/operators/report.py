@@ -52,3 +52,62 @@ def temporal_report(assigned: DataFrame, k: int) -> str:
         return "\n\n".join(parts) + "\n"
     finally:
         months.unpersist()
+
+
+# The settings a report lists, in this order.
+SETTINGS = ("src", "num_files", "tokens_per_file", "clusters", "dim", "iters", "tol", "linear", "seed", "chunk_size", "gpus")
+
+
+def configuration(run: DataFrame, n_tokens: int) -> DataFrame:
+    """(place, parameter, value) of the settings a run has, then the tokens analyzed.
+
+    The number of files is that of the sample; where a manifest gave it, the setting that didn't count is named.
+    """
+    config, place = F.col("config"), F.posexplode(F.array(*map(F.lit, SETTINGS)))
+    rows = run.select(F.size("files").alias("n_files"), "config", place.alias("place", "parameter"))
+    given = F.element_at(config, F.col("parameter"))
+    reused = F.coalesce(F.element_at(config, F.lit("files_from")), F.lit("None")) != "None"
+    note = F.when(reused, F.concat(F.lit(" *(--files-from reused the sample; --num-files="), given, F.lit(" ignored)*"))).otherwise("")
+    value = F.when(F.col("parameter") == "num_files", F.concat(F.col("n_files").cast("string"), F.coalesce(note, F.lit("")))).otherwise(given)
+    listed = rows.select("place", "parameter", value.alias("value")).where("value is not null")
+    return listed.union(run.sparkSession.createDataFrame([(len(SETTINGS), "tokens analyzed", f"{n_tokens:,}")], listed.schema))
+
+
+def convergence(history: DataFrame) -> DataFrame:
+    """The history as it is printed: iter, objective, share of changed labels, least and largest cluster."""
+    return history.select(
+        "iter", F.format_string("%.2f", "obj_per_token").alias("objective/token"), F.format_string("%.2f%%", F.col("frac_changed") * 100).alias("labels changed"),
+        F.format_number("size_min", 0).alias("min size"), F.format_number("size_max", 0).alias("max size"),
+    )
+
+
+def sample_lines(fingerprint: str, files: list[int], per_file: str, seed: str, shown: int = 20) -> list[str]:
+    """What makes runs comparable: the sample's fingerprint, its size, and its first files."""
+    first = ", ".join(map(str, sorted(files)[:shown])) + (" …" if len(files) > shown else "")
+    return [
+        f"- **Sample fingerprint:** `{fingerprint}` — runs of the same fingerprint were fitted to the same tokens.",
+        f"- **Files:** {len(files)}, {per_file} tokens each, seed {seed}.",
+        f"- First files: {first}",
+    ]
+
+
+def variance_lines(parts: dict, dim: int, evr: float, dims: dict | None) -> list[str]:
+    share = lambda c: f"{parts[f'{c}_share']:.1%}"
+    out = [f"Total variance about the mean of all tokens: **{parts['total']:.0f}**", "", f"- **{share('between')}** between clusters"]
+    if dim:
+        out += [f"- **{share('captured')}** captured within clusters by {dim} directions", f"- **{share('residual')}** residual", ""]
+        out.append(f"Explained share within clusters, by tokens: **{evr:.3f}**. Directions for 80% of what is captured: min {dims['least']} / median {dims['median']} / max {dims['most']} ({dim + 1}: nothing is captured).")
+    else:
+        out.append(f"- **{share('residual')}** residual, all that is within clusters (points have no directions)")
+    return out
+
+
+def holdout_lines(found: dict) -> list[str]:
+    held, inside = found["holdout"], found["in_sample"]
+    gap = held["residual_frac"] - inside["residual_frac"]
+    number = lambda v: T.dash(v, "{:.2f}")
+    return [
+        f"{found['num_holdout_tokens']:,} tokens of {found['num_holdout_files']} files the run never saw.", "",
+        "| residual (unexplained variance) | fraction |", "|---|---|", f"| in-sample | {inside['residual_frac']:.1%} |", f"| held-out | {held['residual_frac']:.1%} |", f"| generalization gap | {gap:+.1%} |", "",
+        f"Objective/token: in-sample **{number(inside['final_obj_per_token'])}** vs held-out **{number(held['residual'])}**. Verdict: **{'overfitting' if gap > V.GAP else 'generalises'}**.",
+    ]

@@ -6,6 +6,7 @@ and as eigenvalues their variances along the axes.  So the operators are tested
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from orrery.functions import calendar, healpix
 from orrery.functions.vectors import dot, squared_norm
-from orrery.operators import affinity, compare, holdout, sampling, spatial, subspaces, variance, vectors
+from orrery.operators import affinity, compare, holdout, programs, sampling, spatial, subspaces, variance, vectors
 from orrery.plans.reference import ASSIGN, CELLS, DOMINANT, K, NEST, NSIDE, TOKENS, X, query, rounded
-from orrery.sources.schema import FitConfig
+from orrery.sources import load, store
+from orrery.sources.schema import HISTORY, FitConfig, HoldoutConfig
 
 DIM, AXES = X.TOKEN_DIM, 3
 CONFIG = FitConfig(clusters=X.TOKEN_CLUSTERS, dim=AXES, min_count=32)
@@ -148,6 +150,31 @@ def literal_holdout(spark, d):
     return rounded(found.select("n", "residual", "within", "captured", "held_out", "in_sample", "gap", "verdict"))
 
 
+CHOSEN = "chosen AS (SELECT file_id FROM (SELECT DISTINCT file_id FROM tokens WHERE file_id % 2 = 1) ORDER BY md5(concat_ws('|', file_id, 8)), file_id LIMIT 3)"
+
+
+@query(f"""WITH {lit_sql(where='file_id % 2 = 0')}, {CHOSEN}, {judged_sql('file_id IN (SELECT file_id FROM chosen)')}, {SPLIT},
+held AS (SELECT count(*) AS n, sum(greatest(r, 0)) AS residual, sum(greatest(w, 0)) AS within, sum(greatest(w - greatest(r, 0), 0)) AS captured FROM best),
+total AS (SELECT sum((v - g) * (v - g)) AS total FROM long JOIN g USING (dim) WHERE file_id IN (SELECT file_id FROM chosen))
+SELECT CAST(3 AS INTEGER) AS files, n AS tokens, round(total / n, 6) AS total, round(residual / n, 6) AS residual, round(held.within / n, 6) AS within, round(held.captured / n, 6) AS captured, round(residual / total, 6) AS residual_frac, round(1 - residual / total, 6) AS modeled_frac,
+round(between_ + parts.within, 6) AS in_total, round(parts.within - parts.captured, 6) AS in_residual, round((parts.within - parts.captured) / (between_ + parts.within), 6) AS in_residual_frac, CAST(2.5 AS DOUBLE) AS final_obj_per_token FROM held, total, parts""")
+def holdout_document(spark, d):
+    """A run folder of the even files, its hold-out evaluation on three others, and the document as read back."""
+    place = f"{store.shared_folder(spark)}/holdout-{uuid.uuid4().hex}"
+    tokens = X.tokens(spark, d)
+    load.write_token_table(tokens, f"{place}/tokens")
+    rows = literal_model(spark, tokens.where("file_id % 2 = 0")).withColumn("radius", F.lit(None).cast("double"))
+    even = tokens.where("file_id % 2 = 0").agg(F.sort_array(F.collect_set("file_id")).alias("files"))
+    config = F.create_map(*[F.lit(x) for x in ("method", "subspace_kmeans", "src", f"{place}/tokens")])
+    run = even.select(F.lit("even").alias("fingerprint"), config.alias("config"), "files", F.lit(None).cast("double").alias("final_obj_per_token"))
+    history = spark.createDataFrame([(1, 3.5, 1.0, 1, 1, 1), (2, 2.5, 0.0, 1, 1, 1)], HISTORY)  # no final objective: the last of the history counts
+    store.save_model(rows, run, history, f"{place}/run/model")
+    programs.holdout_run(spark, HoldoutConfig(f"{place}/run", num_files=3, seed=8))
+    found = store.load_holdout(spark, f"{place}/run/holdout.json")
+    names = {f"in_sample.{c}": n for c, n in (("total", "in_total"), ("residual", "in_residual"), ("residual_frac", "in_residual_frac"), ("final_obj_per_token", "final_obj_per_token"))}
+    return rounded(found.select(F.col("num_holdout_files").alias("files"), F.col("num_holdout_tokens").alias("tokens"), "holdout.*", *[F.col(c).alias(n) for c, n in names.items()]))
+
+
 # --- re-seeding: clusters by the sizes of all tokens, the least size by the settings
 
 SEEDS = f"""{lit_sql(f'm + CASE WHEN cluster >= {FAR} AND dim = 0 THEN 1.0 ELSE 0.0 END')}, {JUDGED}, sizes AS (SELECT lit.cluster, count(best.cluster) AS n FROM lit LEFT JOIN best USING (cluster) GROUP BY lit.cluster),

@@ -19,6 +19,11 @@ RUN = T.StructType([
 HISTORY = T.StructType([T.StructField("iter", T.IntegerType()), T.StructField("obj_per_token", T.DoubleType()), T.StructField("frac_changed", T.DoubleType()), T.StructField("size_min", T.LongType()), T.StructField("size_max", T.LongType()), T.StructField("size_median", T.LongType())])
 MANIFEST = T.StructType([T.StructField("fingerprint", T.StringType()), T.StructField("num_files", T.IntegerType()), T.StructField("tokens_per_file", T.IntegerType()), T.StructField("seed", T.IntegerType()), T.StructField("src", T.StringType()), T.StructField("files", T.ArrayType(T.IntegerType()))])
 
+_HELD = T.StructType([T.StructField(c, T.DoubleType()) for c in ("total", "residual", "within", "captured", "residual_frac", "modeled_frac")])
+_INSIDE = T.StructType([T.StructField(c, T.DoubleType()) for c in ("total", "residual", "residual_frac", "final_obj_per_token")])
+#: The nested document of a hold-out evaluation; all but the counts and fractions are per token.
+HOLDOUT = T.StructType([T.StructField("num_holdout_files", T.IntegerType()), T.StructField("num_holdout_tokens", T.LongType()), T.StructField("holdout", _HELD), T.StructField("in_sample", _INSIDE)])
+
 # Fixed values of the original data set; every function takes them as parameters.
 N_FILES, N_CELLS, DIM = 13021, 12288, 2048
 
@@ -38,6 +43,38 @@ class LoadConfig:
     max_bytes: int | None = None
 
 
+@dataclass(frozen=True)
+class AnalyzeConfig:
+    """Settings of the clustering report of a run folder."""
+
+    dir: str
+    out: str | None = None
+    top_pairs: int = 12
+
+
+@dataclass(frozen=True)
+class TemporalConfig:
+    """Settings of the report by months; coastlines name a GeoJSON file."""
+
+    dir: str
+    out: str | None = None
+    top_seasonal: int = 8
+    coastlines: str | None = None
+    heatmap: bool = True
+    degrees: float = 2.0
+
+
+@dataclass(frozen=True)
+class HoldoutConfig:
+    """Settings of a hold-out evaluation; ``src`` is the run's own token table if it isn't given."""
+
+    dir: str
+    src: str | None = None
+    num_files: int = 200
+    seed: int = 12345
+    max_bytes: int | None = None
+
+
 @dataclass(frozen=True)
 class FitConfig:
     """Settings of a fit; dim 0 is k-means, linear subspaces pass through the origin."""

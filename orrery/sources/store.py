@@ -92,6 +92,24 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()))
 
 
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """One text, through Spark, so that any store it knows will do."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect()).removesuffix("\n")
+
+
+def save_holdout(document: DataFrame, path: str) -> None:
+    """The nested document of a hold-out evaluation, of one row, as JSON."""
+    document.select([F.col(f.name).cast(f.dataType) for f in S.HOLDOUT]).coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_holdout(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(S.HOLDOUT).json(path)
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """A sample manifest as one row."""
     return spark.read.schema(S.MANIFEST).json(path, multiLine=True)
