@@ -14,19 +14,26 @@ from orrery.plans.reference import DIST, MONTH
 from orrery.sources.store import shared_folder
 
 
-def _twice(spark: SparkSession, name: str, run, table: str) -> tuple[DataFrame, DataFrame]:
+def _twice(spark: SparkSession, name: str, run, table: str):
     out = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     run(spark, table, out)
     return run(spark, table, out)
 
 
 def job1_score_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kind token: the assignments; kind cube: the months' counts."""
-    tokens, cube = _twice(spark, "job1", score_new_files.run, f"{sf_dir}/embeddings.parquet")
-    columns = ("kind", "month", "file_id", "cell_id", "label", "n", "residual")
-    tokens = tokens.withColumns({"kind": F.lit("token"), "n": F.lit(1).cast("long")}).select(*columns)
-    cube = cube.withColumns({"kind": F.lit("cube"), "file_id": F.lit(None).cast("int")}).select(*columns)
-    return tokens.union(cube).withColumn("residual", F.round("residual", 6))
+    """kind token: the assignments; cube: the months' counts; dominant: the most frequent cluster of a cell (n: its tokens); flip: cells that change to the next month (n), of those in both, as residual their share."""
+    found = _twice(spark, "job1", score_new_files.run, f"{sf_dir}/embeddings.parquet")
+    columns = {"kind": "string", "month": "int", "file_id": "int", "cell_id": "int", "label": "int", "n": "long", "residual": "double"}
+    kinds = {
+        "token": found["assignments"].withColumn("n", F.lit(1)), "cube": found["cube"], "dominant": found["dominant"],
+        "flip": found["flips"].select("month", F.col("both").alias("cell_id"), F.col("flips").alias("n"), F.col("rate").alias("residual")),
+    }
+    out = None
+    for kind, df in kinds.items():
+        part = df.withColumn("kind", F.lit(kind))
+        part = part.select([(F.col(c) if c in part.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+        out = part if out is None else out.union(part)
+    return out.withColumn("residual", F.round("residual", 6))
 
 
 def job2_corpus_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,13 +49,17 @@ def job2_corpus_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"job1_score_new_files": job1_score_new_files, "job2_corpus_drift": job2_corpus_drift}
 
-_SCORED = f"""{DIST}, scored AS (SELECT {MONTH} AS month, file_id, cell_id, CAST(cluster AS INTEGER) AS label, greatest(residual, 0) AS residual FROM best JOIN tokens USING (token_id))"""
+_SCORED = f"""{DIST}, scored AS (SELECT {MONTH} AS month, file_id, cell_id, CAST(cluster AS INTEGER) AS label, greatest(residual, 0) AS residual FROM best JOIN tokens USING (token_id)),
+mdom AS (SELECT month, cell_id, label, n FROM (SELECT month, cell_id, label, count(*) AS n FROM scored GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY month, cell_id ORDER BY n DESC, label) = 1),
+flip AS (SELECT CAST(m AS INTEGER) AS month, count(b.label) AS both_, count(*) FILTER (a.label <> b.label) AS flips FROM range(1, 12) r(m) LEFT JOIN mdom a ON a.month = m LEFT JOIN mdom b ON b.month = m + 1 AND b.cell_id = a.cell_id GROUP BY m)"""
 _COUNTS = ", ".join(f"CAST(strlen(t) - strlen(replace(t, '{c}', '')) AS DOUBLE)" for c in LETTERS)
 
 ORACLES: dict[str, str] = {
     "job1_score_new_files": f"""WITH {_SCORED}
 SELECT 'token' AS kind, month, file_id, cell_id, label, CAST(1 AS BIGINT) AS n, round(residual, 6) AS residual FROM scored
-UNION ALL SELECT 'cube', month, NULL, cell_id, label, count(*), round(sum(residual), 6) FROM scored GROUP BY month, cell_id, label""",
+UNION ALL SELECT 'cube', month, NULL, cell_id, label, count(*), round(sum(residual), 6) FROM scored GROUP BY month, cell_id, label
+UNION ALL SELECT 'dominant', month, NULL, cell_id, label, n, NULL FROM mdom
+UNION ALL SELECT 'flip', month, NULL, CAST(both_ AS INTEGER), NULL, flips, round(flips / nullif(both_, 0), 6) FROM flip""",
     "job2_corpus_drift": f"""WITH c AS (SELECT doc_id, lang AS class, [{_COUNTS}] AS c FROM (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents)),
 v AS (SELECT doc_id, class, list_transform(c, lambda x: x / greatest(list_sum(c), 1.0)) AS v FROM c),
 top AS (SELECT class, count(*) AS n FROM v WHERE class IS NOT NULL GROUP BY class ORDER BY n DESC, class LIMIT 64),

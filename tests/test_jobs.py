@@ -69,8 +69,16 @@ def test_new_files_are_taken_once(spark, tmp_path):
     for _, month, _, cell, label, _ in grown[0]:
         counts[month, cell, label] = counts.get((month, cell, label), 0) + 1
     assert {(m, c, label): n for m, c, label, n, _ in grown[1]} == counts
-    score_new_files.run(spark, tokens, out, settings)
+    found = score_new_files.run(spark, tokens, out, settings)
     assert state(spark, out) == grown
+    best = {}
+    for (month, cell, label), n in sorted(counts.items()):
+        if n > best.get((month, cell), (0, 0))[0]:
+            best[month, cell] = n, label
+    assert {(r["month"], r["cell_id"]): (r["n"], r["label"]) for r in found["dominant"].collect()} == best
+    for r in found["flips"].collect():
+        pairs = [(x[1], best[r["month"] + 1, cell][1]) for (m, cell), x in best.items() if m == r["month"] and (m + 1, cell) in best]
+        assert (r["both"], r["flips"]) == (len(pairs), sum(a != b for a, b in pairs)) and (r["rate"] is None) == (not pairs)
     assert dict(spark.conf.getAll) == before
 
 
@@ -90,8 +98,8 @@ def test_no_tokens_and_no_labels(spark, tmp_path):
     with pytest.raises(ValueError, match="no labelled tokens"):
         score_new_files.run(spark, f"{tmp_path}/none", f"{tmp_path}/out")
     spark.createDataFrame(vectors_of(5), SCHEMA).write.mode("append").parquet(f"{tmp_path}/none")
-    rows, cube = score_new_files.run(spark, f"{tmp_path}/none", f"{tmp_path}/out")  # as if nothing had happened
-    assert rows.count() == 5 == cube.agg(F.sum("n")).first()[0]
+    found = score_new_files.run(spark, f"{tmp_path}/none", f"{tmp_path}/out")  # as if nothing had happened
+    assert found["assignments"].count() == 5 == found["cube"].agg(F.sum("n")).first()[0] and found["flips"].count() == 11
 
 
 DOCS = [(0, "aab", "x"), (1, "aaab", "x"), (2, "bbb", "y"), (3, "bb zz" * 1000, "y"), (7, None, "x"), (8, "", None), (9, "AA\n12", None), (None, "bbb", "y"), (9, "aab", "y"), (9, "aab", "y")]
