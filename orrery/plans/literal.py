@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import calendar, healpix
 from orrery.functions.vectors import dot, squared_norm
-from orrery.operators import affinity, compare, holdout, programs, sampling, spatial, subspaces, variance, vectors
+from orrery.operators import affinity, compare, grid, holdout, programs, sampling, spatial, subspaces, variance, vectors
 from orrery.plans.reference import ASSIGN, CELLS, DOMINANT, K, NEST, NSIDE, TOKENS, X, query, rounded
 from orrery.sources import load, store
 from orrery.sources.schema import HISTORY, FitConfig, HoldoutConfig
@@ -287,3 +287,41 @@ def kcenter_coreset(spark, d):
     model, _ = subspaces.core_centres(tokens, 5)
     rows = subspaces.assigned(tokens, model)
     return rows.groupBy(F.col("label").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.max(F.greatest("within", F.lit(0.0)))).alias("radius"))
+
+
+# --- maps: the grid behind an image
+
+STEP, SIGMA = 10.0, 0.9
+_WEIGHTS = ", ".join(f"({o}, {w!r})" for o, w in grid.gauss(SIGMA).items())
+_LAT = lambda r: f"degrees(asin(CASE WHEN {r} < 4 THEN 1 - {r} * {r} / 48.0 WHEN {r} > 12 THEN (16 - {r}) * (16 - {r}) / 48.0 - 1 ELSE (8 - {r}) * 2 / 12.0 END))"
+GRID_SQL = f"""{NEST}, {DOMINANT}, cells AS (SELECT CAST(ring_id AS BIGINT) AS ring_id, label / 7.0 AS r, 1 - label / 7.0 AS g, (label % 3) / 2.0 AS b FROM q JOIN dom ON p = cell_id),
+pts AS (SELECT CAST(i AS INTEGER) AS y, CAST(j AS INTEGER) AS x, 85.0 - 10 * i AS lat, (-175 + 10 * j + 360) % 360 AS lon, sin(radians(85.0 - 10 * i)) AS z FROM range(18) a(i), range(36) c(j)),
+rr AS (SELECT *, CAST(ceil(CASE WHEN z > 2 / 3.0 THEN 4 * sqrt(3 * (1 - z)) WHEN z < -2 / 3.0 THEN 16 - 4 * sqrt(3 * (1 + z)) ELSE 8 - 6 * z END - 1e-9) AS BIGINT) AS below FROM pts),
+rings AS (SELECT y, x, lon, greatest(1, least(15, below)) AS ring, 1.0 AS w FROM rr WHERE below <= 1 OR below > 15
+  UNION ALL SELECT y, x, lon, below - 1, 1 - ({_LAT('(below - 1)')} - lat) / ({_LAT('(below - 1)')} - {_LAT('below')}) FROM rr WHERE below BETWEEN 2 AND 15
+  UNION ALL SELECT y, x, lon, below, ({_LAT('(below - 1)')} - lat) / ({_LAT('(below - 1)')} - {_LAT('below')}) FROM rr WHERE below BETWEEN 2 AND 15),
+at_ AS (SELECT y, x, w, least(ring, 4, 16 - ring) AS k, CASE WHEN ring < 4 THEN 2 * ring * (ring - 1) WHEN ring > 12 THEN 192 - 2 * k * (k + 1) ELSE 24 + (ring - 4) * 16 END AS first_,
+  lon * k / 90.0 - CASE WHEN ring < 4 OR ring > 12 OR (ring - 4) % 2 = 0 THEN 0.5 ELSE 0 END AS pos FROM rings),
+spot AS (SELECT y, x, CAST(first_ + (floor(pos) + 4 * k) % (4 * k) AS BIGINT) AS ring_id, w * (1 - (pos - floor(pos))) AS w FROM at_ UNION ALL SELECT y, x, CAST(first_ + (floor(pos) + 1 + 4 * k) % (4 * k) AS BIGINT), w * (pos - floor(pos)) FROM at_),
+field AS (SELECT y, x, sum(w * r) AS r, sum(w * g) AS g, sum(w * b) AS b FROM spot JOIN cells USING (ring_id) GROUP BY y, x),
+weights(o, w) AS (VALUES {_WEIGHTS}),
+across AS (SELECT f.y, f.x, sum(w * s.r) AS r, sum(w * s.g) AS g, sum(w * s.b) AS b FROM field f, weights, field s WHERE s.y = f.y AND s.x = (f.x + o + 36) % 36 GROUP BY f.y, f.x),
+down AS (SELECT f.y, f.x, sum(w * s.r) AS r, sum(w * s.g) AS g, sum(w * s.b) AS b FROM across f, weights, across s WHERE s.x = f.x AND s.y = greatest(0, least(17, f.y + o)) GROUP BY f.y, f.x)"""
+
+
+@query(f"WITH {GRID_SQL} SELECT y AS row, x AS col, round(greatest(0, least(1, r)), 6) AS r, round(greatest(0, least(1, g)), 6) AS g, round(greatest(0, least(1, b)), 6) AS b FROM down")
+def map_grid(spark, d):
+    """Dominant clusters as colours on a grid of ten degrees, interpolated and smoothed."""
+    return rounded(_grid(spark, d))
+
+
+@query(f"WITH {GRID_SQL}, eight AS (SELECT y, x, CAST(round(greatest(0, least(1, r)) * 255) * 65536 + round(greatest(0, least(1, g)) * 255) * 256 + round(greatest(0, least(1, b)) * 255) AS BIGINT) AS colour FROM down) SELECT y AS row, x AS col, colour, CAST(dense_rank() OVER (ORDER BY colour) - 1 AS INTEGER) AS number FROM eight")
+def map_palette(spark, d):
+    return grid.palette(_grid(spark, d)).select("row", "col", "colour", "number")
+
+
+def _grid(spark, d):
+    best = spatial.dominant(spatial.cell_cluster_counts(X.assignments(spark, d)))
+    label = F.col("id").cast("int")
+    colours = spark.range(K).select(label.alias("label"), (label / 7.0).alias("r"), (1 - label / 7.0).alias("g"), ((label % 3) / 2.0).alias("b"))
+    return grid.smoothed(grid.interpolated(grid.cell_colours(best, colours, NSIDE), NSIDE, STEP), STEP, SIGMA)
