@@ -43,13 +43,15 @@ from pyspark.sql import types as T
 
 from orrery.llm import textkit
 from orrery.llm.graph import components
-from orrery.llm.shared import forget, parallel, release, settled, small_batches
+from orrery.llm.shared import forget, release, settled, small_batches
 
 SHINGLE = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
 #: Tokens that one counting task gets, about, and packed bytes of them that it sorts at once.
 BUCKET_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
+#: Counting tasks at least.
+LEAST_PARTS = 8
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs whose test takes as long as a round takes for one row (a pair is some xors in a
@@ -107,23 +109,30 @@ def _describe(size: int):
 
 
 def _pack(nodes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, tokens: np.ndarray) -> bytes:
-    """Runs of tokens by node: 14 bytes a run, 6 a token."""
-    head = np.array([len(nodes)], "<u4").tobytes()
+    """Runs of tokens by node: 6 bytes a token, and 11 a run while sizes and counts fit two bytes and one, else up to 14.
+
+    Each node's tokens are spread over all parts, so with many parts most runs are short and their heads count.
+    """
+    size_kind, count_kind = ("<u2" if sizes.max() < 1 << 16 else "<u4"), ("<u1" if counts.max() < 1 << 8 else "<u2")
+    head = np.array([len(nodes), int(size_kind == "<u4"), int(count_kind == "<u2")], "<u4").tobytes()
     six = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return head + nodes.astype("<i8").tobytes() + sizes.astype("<u4").tobytes() + counts.astype("<u2").tobytes() + six
+    return head + nodes.astype("<i8").tobytes() + sizes.astype(size_kind).tobytes() + counts.astype(count_kind).tobytes() + six
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Node, set size and token of each packed token."""
-    runs = int(np.frombuffer(blob, "<u4", 1)[0])
-    at = 4
+    runs, wide_sizes, wide_counts = np.frombuffer(blob, "<u4", 3).tolist()
+    at = 12
     nodes = np.frombuffer(blob, "<i8", runs, at)
-    sizes = np.frombuffer(blob, "<u4", runs, at + 8 * runs)
-    counts = np.frombuffer(blob, "<u2", runs, at + 12 * runs)
-    six = np.frombuffer(blob, np.uint8, offset=at + 14 * runs).reshape(-1, 6)
+    at += 8 * runs
+    sizes = np.frombuffer(blob, "<u4" if wide_sizes else "<u2", runs, at)
+    at += sizes.nbytes
+    counts = np.frombuffer(blob, "<u2" if wide_counts else "<u1", runs, at)
+    at += counts.nbytes
+    six = np.frombuffer(blob, np.uint8, offset=at).reshape(-1, 6)
     tokens = np.zeros((len(six), 8), np.uint8)
     tokens[:, :6] = six
-    return np.repeat(nodes, counts), np.repeat(sizes, counts), tokens.view("<u8").ravel().astype(np.uint64)
+    return np.repeat(nodes, counts), np.repeat(sizes.astype(np.uint32), counts), tokens.view("<u8").ravel().astype(np.uint64)
 
 
 class Hot:
@@ -490,7 +499,7 @@ def _assigned(docs: DataFrame, doc_id: str, text: str, size: int, threshold: int
     sampled = texts.select("text").sample(min(1.0, sample_rows / max(rows, 1)), seed=1).collect()
     column = pa.array([r["text"] for r in sampled], pa.large_string())
     known = Hot([s for _, words in textkit.text_chunks(iter([pa.record_batch({"text": column})]), "text", textkit.SOLID, True) for s in shingle_sets(words, size)], hot)
-    parts = max(parallel(spark), -(-total // BUCKET_TOKENS))
+    parts = max(LEAST_PARTS, -(-total // BUCKET_TOKENS))  # by tokens alone: more parts make shorter runs, whose heads are sent too
     shared = spark.sparkContext.broadcast(known)  # of a bounded sample
     dealt = texts.select("text").mapInArrow(_deal_tokens(shared, size, parts, parts), "kind byte, part int, blob binary")
     if known.classes:

@@ -93,3 +93,17 @@ def test_packing():
     nodes, sizes, counts, tokens = np.array([-5, 7]), np.array([3, 9], np.uint32), np.array([1, 2]), np.array([1, (1 << 48) - 1, 5], np.uint64)
     a, b, c = _unpack(_pack(nodes, sizes, counts, tokens))
     assert a.tolist() == [-5, 7, 7] and b.tolist() == [3, 9, 9] and c.tolist() == tokens.tolist()
+
+
+def test_packed_tokens_come_back():
+    import numpy as np
+
+    from orrery.llm.jaccard import _pack, _unpack
+
+    rng = np.random.default_rng(1)
+    for most_size, most_count in ((100, 20), (70_000, 20), (100, 40_000), (1 << 31, 65_535)):
+        counts = np.append(rng.integers(1, 6, 9), most_count)
+        nodes, sizes = rng.integers(-(1 << 62), 1 << 62, 10), np.append(rng.integers(1, 90, 9), most_size).astype(np.uint32)
+        tokens = rng.integers(0, 1 << 48, counts.sum()).astype(np.uint64)
+        node, size, token = _unpack(_pack(nodes, sizes, counts, tokens))
+        assert (node == np.repeat(nodes, counts)).all() and (size == np.repeat(sizes, counts)).all() and (token == tokens).all()
