@@ -57,7 +57,7 @@ SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs whose test takes as long as a round takes for one row (a pair is some xors in a
 #: join's inner loop, a row goes through several shuffles).
 STAR_ROUNDS, FEW_PAIRS = 10, 64
-#: Buckets of a node that a round draws.
+#: Buckets of a node that a round draws: two in the first, which join most of a large component, then twice as many up to this.
 DRAWN = 8
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
 BITS = 1024
@@ -397,13 +397,13 @@ def cross_pairs(rows: DataFrame) -> float:
 
 
 def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
-    """For each node the pivots of DRAWN of its buckets that have other labels: (a, b, label, to).
+    """For each node the pivots of a few of its buckets that have other labels: (a, b, label, to).
 
     Buckets are drawn by hash, so that alike sets mostly draw alike, and so are
     pivots among a bucket's nodes, so that large components are met most.
     """
     pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to")
-    drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token"))), 1, DRAWN)  # of one node's prefix
+    drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token"))), 1, min(DRAWN, 2 << seed))  # of one node's prefix
     chosen = rows.groupBy(F.col("node").alias("a"), "n", "label").agg(drawn.alias("drawn")).select("a", "n", "label", F.explode("drawn.token").alias("token"))
     met = settled(chosen, True).join(settled(pivots, True), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
     return met.select("a", "b", "label", "to").distinct()
