@@ -48,13 +48,31 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return masked.select(_columns(docs, text=F.col("text"), n_chars=n_chars))
 
 
+#: What the mixing stage adds.
+MIXED = ("size", "source_size", "target", "taken")
+
+
+def _given(columns: list[str]) -> dict[str, str]:
+    """The names under which the columns of documents leave the last stage: one that clashes with MIXED (in any case) gets ``_given`` behind it, as often as it takes."""
+    taken, names = {c.lower() for c in MIXED}, {}
+    others = {c.lower() for c in columns} - taken
+    for c in columns:
+        name = c
+        while name.lower() in taken or (name != c and name.lower() in others):
+            name += "_given"
+        taken.add(name.lower())
+        names[c] = name
+    return names
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents, with size, source_size, target and taken: how many words the mixture takes of each.
 
-    Null and empty texts have no words and give none; equal rows each get a row.
+    Null and empty texts have no words and give none; equal rows each get a row.  Columns of documents with one of
+    these names are kept as size_given and so on.
     """
     mixed = mix_sources(docs, carry=True)
-    return mixed.select(*_columns(docs), *[c for c in ("size", "source_size", "target", "taken") if c not in docs.columns])
+    return mixed.select(*[F.col("document").getField(c).alias(name) for c, name in _given(docs.columns).items()], *MIXED)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
