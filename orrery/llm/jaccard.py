@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from orrery.llm import textkit
 from orrery.llm.graph import components
-from orrery.llm.shared import forget, release, settled, small_batches
+from orrery.llm.shared import forget, free_name, release, settled, small_batches
 
 SHINGLE = 5
 #: Similarity in hundredths.
@@ -541,9 +541,11 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", siz
     equal rows one.  Rows without doc_id all stay.
     """
     found = settled(_assigned(docs, doc_id, text, size, threshold, SAMPLE_ROWS, HOT, STAR_ROUNDS, FEW_PAIRS).where("doc_id = component_id"))
-    heads = settled(found.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")).select(F.col("doc_id").alias("head_id"), F.col("text_key").alias("head_key"), "rows"))
+    heads = settled(found.groupBy("doc_id").agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows")))
+    head_id, head_key = (free_name(c, docs.columns) for c in ("head_id", "head_key"))
+    named = heads.select(F.col("doc_id").alias(head_id), F.col("text_key").alias(head_key))
     key = F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    kept = docs.join(heads.drop("rows"), (F.col(f"`{doc_id}`") == F.col("head_id")) & (key == F.col("head_key")), "left_semi")
+    kept = docs.join(named, (F.col(f"`{doc_id}`") == F.col(head_id)) & (key == F.col(head_key)), "left_semi")
     if not heads.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates([doc_id])
     nameless = docs.where(F.col(f"`{doc_id}`").isNull())

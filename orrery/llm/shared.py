@@ -80,6 +80,14 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("document")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """A name that none of the columns has, in any case: the given one with as many underscores as it takes."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def parallel(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -55,3 +55,36 @@ def test_stages_accept_empty_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SMALL).count() == 0
         assert stage(spark, odd, SMALL).count() >= 1
+
+
+CLASHING = ("size", "Taken", "taken_given", "document", "score", "predicted", "kept", "contaminated", "node", "n", "head_id", "head_key", "rows", "text_key", "spans", "target_given")
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    wide = docs.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in CLASHING}).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, wide, SMALL).cache()
+        assert out.count() > 0
+        for r in out.collect():
+            for c in CLASHING:
+                given = {"size": "size_given", "Taken": "Taken_given_given"}.get(c, c) if name == "mixing" else c
+                assert r[given] == f"{c} of {r['doc_id']}"
+        if name == "mixing":
+            assert out.columns[-4:] == list(corpus_pipeline.MIXED) and all(isinstance(r["size"], int) and isinstance(r["taken"], int) for r in out.collect())
+        else:
+            assert out.columns == wide.columns
+        wide = out
+
+
+def test_stages_take_very_long_texts(spark):
+    schema = spark.read.parquet(f"{SMALL}/documents.parquet").schema
+    long = " ".join(f"word{i % 9973}x{i % 7919}" for i in range(200_000))
+    docs = spark.createDataFrame([(10, long, "en", "a", len(long)), (11, long + " tail", "en", "a", len(long) + 5), (12, "short text of a few plain words", "en", "b", 31), (13, long[::-1], "en", "b", len(long))], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL).cache()
+        assert sorted(r["doc_id"] for r in out.collect()) == ([10, 12, 13] if name != "toxicity" else [10, 11, 12, 13])
+        assert next(len(r["text"]) for r in out.collect() if r["doc_id"] == 10) == len(long)
+        docs = out
