@@ -54,9 +54,9 @@ BUCKET_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
 LEAST_PARTS = 8
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
-#: Star rounds at most, and the pairs whose test takes as long as a round takes for one row (a pair is some xors in a
-#: join's inner loop, a row goes through several shuffles).
-STAR_ROUNDS, FEW_PAIRS = 10, 64
+#: Star rounds at most, and the pairs for each row that are left to the last step: a round costs a row several shuffles,
+#: a pair some xors in a join's inner loop, but pairs grow with the square of a component that is still in pieces.
+STAR_ROUNDS, FEW_PAIRS = 10, 4
 #: Buckets of a node that a round draws: two in the first, which join most of a large component, then twice as many up to this.
 DRAWN = 8
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
@@ -465,7 +465,7 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     every, gain = [], None
     left = cross_pairs(rows)
     for step in range(star_rounds):
-        # A round costs about as much as testing few_pairs pairs for each row; it has to be worth that.
+        # A round has to take more than few_pairs pairs for each row from the last step.
         worth = few_pairs * rows.count()
         if left <= worth or (gain is not None and gain <= worth):
             break
