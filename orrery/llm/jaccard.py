@@ -56,7 +56,7 @@ LEAST_PARTS = 8
 SAMPLE_ROWS, HOT = 1024, 8
 #: Star rounds at most, and the pairs for each row that are left to the last step: a round costs a row several shuffles,
 #: a pair some xors in a join's inner loop, but pairs grow with the square of a component that is still in pieces.
-STAR_ROUNDS, FEW_PAIRS = 10, 4
+STAR_ROUNDS, FEW_PAIRS = 10, 1
 #: Buckets of a node that a round draws: two in the first, which join most of a large component, then twice as many up to this.
 DRAWN = 8
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
