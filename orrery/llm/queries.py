@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from orrery.llm import codes, lines, quality
 from orrery.llm.decontaminate import decontaminate
 from orrery.llm.jaccard import jaccard_components
-from orrery.llm.licenses import MARKS, scan_licenses
+from orrery.llm.licenses import DECLARATIONS, TEMPLATES, scan_licenses
 from orrery.llm.mixing import mix_sources
 from orrery.llm.pii import BASE, find_pii, span_string
 from orrery.llm.quotes import link_quotations
@@ -65,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_licenses(_table(spark, sf_dir, "documents"), across_lines=True, marks=MARKS)
+    found = scan_licenses(_table(spark, sf_dir, "documents"), templates={**TEMPLATES, **DECLARATIONS}, across_lines=True, gram=2)
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
     return found.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 

@@ -211,3 +211,38 @@ def test_url_threshold_is_held_out(spark):
     urls += [f"http://{word('abcde')}.net/{word('abcde')}" for _ in range(20)] + [f"http://{word('vwxyz')}.net/{word('vwxyz')}" for _ in range(20)] + ["http://a.net/" + "abc" * 20000]
     got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
     assert sum(got[i] == "allow" for i in range(300, 320)) >= 18 and sum(got[i] == "block" for i in range(320, 340)) >= 18 and got[340] == "allow"
+
+
+def test_license_query_is_an_exact_join_of_word_pairs(spark, tmp_path):
+    """The registered query against all windows of all texts, a notice with a word left out, and one-line declarations."""
+    import random
+
+    from orrery.llm.licenses import DECLARATIONS, TEMPLATES
+
+    notices = {**TEMPLATES, **DECLARATIONS}
+    pairs = lambda words: list(zip(words, words[1:], strict=False))
+
+    def brute(text):
+        have = pairs(ALNUM.findall(fold(text)))
+        want = {k: pairs(s.split()) for k, s in notices.items()}
+        return {k for k, w in want.items() if any(5 * len(set(have[i : i + 2 * len(w)]) & set(w)) >= 4 * len(set(w)) for i in range(len(have)))}
+
+    rng = random.Random(5)
+    pool = [" ".join(w for w in s.split() if rng.random() < 0.94) for s in [*notices.values()] * 3]
+    fixed = {
+        "Permission is granted, free of charge, to any person obtaining a copy of this software": "mit-grant",
+        "License: MIT": "license-mit",
+        "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;": "spdx-gpl-2.0",
+        "Use it under GPL v2 or later.": "gpl-2-line",
+        "SPDX-License-Identifier: MIT": "spdx-mit",
+        "license": "",
+        "the mit": "",
+        "Under the terms of the public; license is gnu, lesser, general, published by software free as the foundation": "",
+    }
+    texts = [*fixed, *("\n".join(rng.choice(pool) + " w" * rng.randrange(9) for _ in range(6)) for _ in range(60))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["labels"] for r in QUERIES["op9_license_scan"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(fixed))] == list(fixed.values())
+    for i, text in enumerate(texts):
+        assert set(filter(None, got[i].split(","))) == brute(text) | set(base_license(text)[-1]), text
+    assert sum(bool(v) for v in got.values()) > 40
