@@ -29,8 +29,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.array_join(F.transform("reply_key", lambda step: F.array_join(step.cast("array<string>"), ":")), "/")
-    return link_quotations(_table(spark, sf_dir, "conversations")).withColumn("reply_key", key)
+    return link_quotations(_table(spark, sf_dir, "conversations")).withColumn("reply_key", F.array_join(F.col("reply_key").cast("array<string>"), ":"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

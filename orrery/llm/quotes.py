@@ -11,8 +11,10 @@ no message holds it at that level, likewise by the next deeper one.
 
 Replies order a conversation: a message that quotes an earlier one opens a
 branch under it, one without a quotation continues its predecessor's branch.
-``reply_key`` sorts a conversation depth first; sorting by it and the
-conversation is a range partitioning, whatever the size of a conversation.
+``reply_key`` sorts a conversation depth first: the branch's place in that
+order, then the turn, so a key is two numbers however deep the replies go.
+Sorting by it and the conversation is a range partitioning, whatever the size
+of a conversation.  Texts are told apart by the 128 bits of their MD5.
 """
 
 from __future__ import annotations
@@ -20,11 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.shared import settled
+from orrery.llm.shared import forget, settled
 
 _MARK = r"^(?:[ \t]*>)+"
 #: Turns of a conversation that one window task handles.
 RANGE = 4096
+#: Stands for the branch that a conversation begins with; no other branch can start there, as each hangs at an earlier turn.
+_TRUNK = -(2**63)
 
 
 def normalised(text: Column) -> Column:
@@ -75,6 +79,10 @@ def _pieces(text: Column) -> Column:
     return F.array_compact(F.array_distinct(F.transform(parts, normalised)))
 
 
+def _identity(column: str) -> Column:
+    return F.unhex(F.md5(column))
+
+
 def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Per message: conv_id, turn, role, text (without quotes), n_quotes, levels, reply_conv, reply_turn, reply_key.
 
@@ -89,9 +97,9 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     placed = rows.where("conv_id is not null and turn is not null")
     pieces = placed.where(F.size("passages") > 0).select("conv_id", "turn", F.explode("passages").alias("passage"))
     pieces = pieces.select("conv_id", "turn", "passage.level", F.explode(_pieces(F.col("passage.text"))).alias("piece"))
-    asked = settled(pieces.groupBy("conv_id", "turn", F.xxhash64("piece").alias("hash"), F.length("piece").alias("size")).agg(F.min("level").alias("level")))
+    asked = settled(pieces.groupBy("conv_id", "turn", _identity("piece").alias("hash"), F.length("piece").alias("size")).agg(F.min("level").alias("level")))
     # Only pieces that somebody quotes are of interest; each is one row a message.
-    held = placed.select("conv_id", "turn", F.explode(_pieces(F.col("own"))).alias("piece")).select("conv_id", "turn", F.xxhash64("piece").alias("hash"))
+    held = placed.select("conv_id", "turn", F.explode(_pieces(F.col("own"))).alias("piece")).select("conv_id", "turn", _identity("piece").alias("hash"))
     held = settled(held.join(settled(asked.select("hash").distinct()), "hash", "left_semi").distinct())
     # The nearest earlier holder in the conversation: one running maximum over holders and askers together.
     marks = held.select("conv_id", "hash", "turn", F.col("turn").alias("holder"), F.lit(None).cast("int").alias("size"), F.lit(None).cast("int").alias("level")).union(asked.select("conv_id", "hash", "turn", F.lit(None).cast("long"), "size", "level"))
@@ -106,41 +114,62 @@ def link_quotations(messages: DataFrame, *, conv: str = "conv_id", turn: str = "
     best = near.union(far).groupBy("conv_id", "turn").agg(F.min(F.struct("level", "far", "size", "order", "reply_conv", "reply_turn")).alias("best"))
     links = settled(best.select("conv_id", "turn", "best.reply_conv", "best.reply_turn"))
     out = rows.join(links, ["conv_id", "turn"], "left")
-    paths = settled(_branch_paths(links))
+    places = branch_places(links)
     # A message belongs to the last branch of its conversation that started at or before it.
-    if paths.isEmpty():
-        keyed = out.withColumn("path", F.array().cast("array<array<bigint>>"))
+    if places.isEmpty():
+        keyed = out.withColumn("place", F.lit(0).cast("long"))
     else:
-        asked = placed.select("conv_id", "turn").distinct().join(paths.select("conv_id").distinct(), "conv_id", "left_semi")
-        marks = paths.select("conv_id", F.col("start").alias("turn"), F.struct("start", "path").alias("branch"), F.lit(True).alias("mark"))
+        asked = placed.select("conv_id", "turn").distinct().join(places.select("conv_id").distinct(), "conv_id", "left_semi")
+        marks = places.select("conv_id", F.col("start").alias("turn"), F.struct("start", "place").alias("branch"), F.lit(True).alias("mark"))
         marks = marks.unionByName(asked.select("*", F.lit(None).cast(marks.schema["branch"].dataType).alias("branch"), F.lit(False).alias("mark")))
-        within = running_max(marks, ["conv_id"], "turn", F.col("branch"), 0).where("not mark").select("conv_id", "turn", F.col("reached.path").alias("path"))
-        keyed = out.join(within, ["conv_id", "turn"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<array<bigint>>")))
-    key = F.concat("path", F.array(F.array(F.lit(0).cast("long"), F.col("turn"), F.lit(0).cast("long"))))
+        within = running_max(marks, ["conv_id"], "turn", F.col("branch"), 0).where("not mark").select("conv_id", "turn", F.col("reached.place").alias("place"))
+        keyed = out.join(within, ["conv_id", "turn"], "left").withColumn("place", F.coalesce("place", F.lit(0).cast("long")))
+    key = F.array("place", "turn")
     return keyed.select(
         "conv_id", "turn", "role", F.col("own").alias("text"), F.size("passages").cast("long").alias("n_quotes"), F.coalesce(F.array_max(F.transform("passages", lambda p: p["level"])), F.lit(0)).cast("long").alias("levels"),
         "reply_conv", "reply_turn", F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), key).alias("reply_key"),
     )
 
 
-def _branch_paths(links: DataFrame) -> DataFrame:
-    """(conv_id, start, path): for each branch its place under its parents, outermost first.
+def branch_places(links: DataFrame) -> DataFrame:
+    """(conv_id, start, place): for each branch its place, from 1, in the depth-first order of its conversation.
 
     A branch starts at a message that quotes one of its conversation, and hangs
-    at that one.  Siblings at one message come after its successors, the
-    nearest message's first; paths are joined by doubling, so rounds grow with
-    the logarithm of the nesting.
+    at that one.  Siblings come after all messages of the branch they hang in,
+    the nearest message's first, and by their starts at one message.  The order
+    is an Euler tour, a way down and a way up for each branch, each knowing its
+    successor; how many ways down are left is summed by pointer jumping.  So
+    rounds grow with the logarithm of the branches and a round has two rows a
+    branch, whatever the nesting; no step gathers siblings or a conversation.
     """
     own = links.where("reply_conv = conv_id")
     branch = own.select("conv_id", F.col("turn").alias("start"), F.col("reply_turn").alias("at"))
+    none = F.lit(None).cast("long")
     # The branch that holds the message it hangs at: the last one that started at or before it.
-    marks = branch.select("conv_id", F.col("at").alias("t"), "start", "at", F.lit(None).cast("long").alias("opened")).union(branch.select("conv_id", F.col("start").alias("t"), F.lit(None).cast("long"), F.lit(None).cast("long"), F.col("start")))
-    state = running_max(marks, ["conv_id"], "t", F.col("opened"), 0).withColumnRenamed("reached", "parent").where("start is not null")
-    state = settled(state.select("conv_id", "start", "parent", F.array(F.array(F.lit(1).cast("long"), -F.col("at"), F.col("start"))).alias("path")))
-    while not state.where("parent is not null").isEmpty():
-        up = state.select("conv_id", F.col("start").alias("parent"), F.col("parent").alias("above"), F.col("path").alias("head"))
-        state = settled(state.join(up, ["conv_id", "parent"], "left").select("conv_id", "start", F.col("above").alias("parent"), F.concat(F.coalesce("head", F.array().cast("array<array<bigint>>")), "path").alias("path")))
-    return state.select("conv_id", "start", "path")
+    marks = branch.select("conv_id", F.col("at").alias("t"), "start", "at", none.alias("opened")).union(branch.select("conv_id", F.col("start").alias("t"), none, none, F.col("start")))
+    held = running_max(marks, ["conv_id"], "t", F.col("opened"), 0).where("start is not null")
+    held = settled(held.select("conv_id", "start", "at", F.coalesce("reached", F.lit(_TRUNK)).alias("parent")))
+    if held.isEmpty():
+        return held.select("conv_id", "start", none.alias("place"))
+    # The next sibling is the next one at the same message, else the first at the nearest message before.
+    beside = running_max(held.withColumn("back", -F.col("start")), ["conv_id", "parent", "at"], "back", F.col("back"), -1).select("conv_id", "start", "at", "parent", (-F.col("reached")).alias("beside"))
+    groups = held.groupBy("conv_id", "parent", "at").agg(F.min("start").alias("first"))
+    before = running_max(groups, ["conv_id", "parent"], "at", F.struct("at", "first"), -1).select("conv_id", "parent", "at", F.col("reached.first").alias("before"))
+    first = groups.groupBy("conv_id", F.col("parent").alias("start")).agg(F.max_by("first", "at").alias("child"))
+    known = beside.join(before, ["conv_id", "parent", "at"]).join(first, ["conv_id", "start"], "left")
+    known = settled(known.select("conv_id", "start", "parent", "child", F.coalesce("beside", "before").alias("sibling")))
+    above = F.when(F.col("parent") != _TRUNK, F.col("parent"))
+    down = known.select("conv_id", "start", F.lit(False).alias("up"), F.coalesce("child", "start").alias("next"), F.col("child").isNull().alias("next_up"), F.lit(1).cast("long").alias("left"))
+    ways = settled(down.union(known.select("conv_id", "start", F.lit(True), F.coalesce("sibling", above), F.col("sibling").isNull(), F.lit(0).cast("long"))))
+    forget(known)
+    while not ways.where("next is not null").isEmpty():
+        ahead = ways.select("conv_id", F.col("start").alias("next"), F.col("up").alias("next_up"), F.col("next").alias("then"), F.col("next_up").alias("then_up"), F.col("left").alias("more"))
+        jumped = ways.join(ahead, ["conv_id", "next", "next_up"], "left")  # a way has one way before it, so no key is hot
+        jumped = settled(jumped.select("conv_id", "start", "up", F.col("then").alias("next"), F.col("then_up").alias("next_up"), (F.col("left") + F.coalesce("more", F.lit(0))).alias("left")))
+        forget(ways)
+        ways = jumped
+    counts = held.groupBy("conv_id").agg(F.count(F.lit(1)).alias("branches"))
+    return ways.where("not up").join(counts, "conv_id").select("conv_id", "start", (F.col("branches") - F.col("left") + 1).alias("place"))
 
 
 def conversations(linked: DataFrame) -> DataFrame:

@@ -108,5 +108,33 @@ def test_long_messages_and_conversations(spark):
         above = max((s for s in opened if s <= opened[start]), default=None)
         return [*(path_of(above) if above else []), [1, -opened[start], start]]
 
-    for t in range(1, turns, 37):
-        assert got["long", t]["reply_key"] == [*path(t), [0, t, 0]], t
+    want = sorted(range(1, turns), key=lambda t: [*path(t), [0, t, 0]])
+    assert sorted(range(1, turns), key=lambda t: got["long", t]["reply_key"]) == want
+
+
+def test_keys_stay_two_numbers_in_deep_and_wide_threads(spark):
+    """Chains of 100,000 and 3,000 turns and a message that 3,000 others quote: the order of a recursion, keys of one size."""
+    from pyspark.sql import functions as F
+
+    from orrery.llm.quotes import branch_places
+
+    n = 100_000
+    chain = spark.range(1, n).select(F.lit("chain").alias("conv_id"), F.col("id").alias("turn"), F.lit("chain").alias("reply_conv"), (F.col("id") - 1).alias("reply_turn"))
+    got = branch_places(chain)
+    assert got.where("place = start").count() == n - 1 == got.count()
+    rows = [("star", t, "star", 0) for t in range(1, 3001)] + [("comb", t, "comb", t - 2) for t in range(2, 3001)] + [("far", 1, "star", 0)]
+    places = {(r[0], r[1]): r[2] for r in branch_places(spark.createDataFrame(rows, "conv_id string, turn long, reply_conv string, reply_turn long")).collect()}
+    assert [places["star", t] for t in range(1, 3001)] == list(range(1, 3001))
+    # Turn t hangs at t - 2, which the branch before the last one holds: t under t - 2, those of even turns first under turn 0.
+    parent = {t: t - 2 for t in range(2, 3001)}
+    key = {}
+    for t in range(2, 3001):
+        key[t] = [*key.get(parent[t], []), [1, -parent[t], t]]
+    assert sorted(key, key=key.get) == sorted(key, key=lambda t: places["comb", t]) and len(places) == 3000 + 2999
+
+
+def test_repeated_and_clashing_columns(spark):
+    """Equal rows each get a row, and columns that the operator uses itself do no harm."""
+    rows = [(1, 0, "user", "first words here", 5, "x"), (1, 1, "user", "> first words here\nyes", 6, "y"), (1, 1, "user", "> first words here\nyes", 6, "y"), (1, 2, "user", "> first words here\nno", 7, "z")]
+    got = link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, place long, path string")).collect()
+    assert sorted((r["turn"], r["reply_turn"] if r["reply_turn"] is not None else -1, *r["reply_key"]) for r in got) == [(0, -1, 0, 0), (1, 0, 1, 1), (1, 0, 1, 1), (2, 0, 2, 2)]
