@@ -12,7 +12,8 @@ are trained on all of them.
 All of it is DataFrame work.  The log-ratio of a position depends on its last
 ORDER characters only, so it is computed once for each distinct n-gram of that
 length, and positions are joined with that table; both grow with the input and
-are shuffled by n-gram.
+are shuffled by n-gram, but for the few n-grams that hold more than one
+position in MOST_HOT (".com" is in nearly every URL): these are broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ _START, _END = "\x02", "\x03"
 STEPS, LIMIT = 200, 20
 #: One labelled URL in so many is held out to calibrate.
 HELD = 5
+#: An n-gram with more than one position in so many is hot, so there are fewer hot ones than this.
+MOST_HOT = 1000
 
 
 @dataclass(frozen=True)
@@ -96,6 +99,14 @@ def fit_ratio(labelled: DataFrame, wanted: DataFrame, order: int = ORDER) -> Dat
     return rows.select("gram", (F.log("p_yes") - F.log("p_no")).alias("ratio"))
 
 
+def with_ratios(positions: DataFrame, counts: DataFrame, ratios: DataFrame) -> DataFrame:
+    """The positions with their ratio; ``counts`` has gram and places, the number of positions it was counted over."""
+    total = counts.agg(F.sum("places")).first()[0] or 0
+    hot = settled(ratios.join(counts.where(F.col("places") * MOST_HOT > total).select("gram"), "gram"), small=True)
+    marked = positions.join(F.broadcast(hot), "gram", "left")  # bounded: fewer than MOST_HOT rows
+    return marked.where("ratio is not null").unionByName(marked.where("ratio is null").drop("ratio").join(ratios, "gram"))
+
+
 def calibrate(scored: DataFrame) -> float:
     """The score with the best balanced accuracy on labelled rows (allow, score); one row a step is gathered."""
     step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-LIMIT)), F.lit(LIMIT)) * STEPS)
@@ -118,10 +129,10 @@ def held_out_threshold(positions: DataFrame, order: int) -> float | None:
     parts = {(r["held"], r["allow"]) for r in known.select("held", "allow").distinct().collect()}  # four rows
     if len(parts) < 4:
         return None
-    counts = known.groupBy("gram").agg(*[F.sum(F.when(~F.col("held") & (F.col("allow") == allow), F.col("n")).otherwise(0)).alias(name) for allow, name in ((True, "n_yes"), (False, "n_no"))])
+    counts = known.groupBy("gram").agg(*[F.sum(F.when(~F.col("held") & (F.col("allow") == allow), F.col("n")).otherwise(0)).alias(name) for allow, name in ((True, "n_yes"), (False, "n_no"))], F.count(F.lit(1)).alias("places"))
     counts = settled(counts)
     ratios = settled(fit_ratio(counts.where("n_yes + n_no > 0"), counts, order))
-    return calibrate(known.where("held").join(ratios, "gram").groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow")))
+    return calibrate(with_ratios(known.where("held"), counts, ratios).groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow")))
 
 
 def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: tuple[UrlRule, ...] = RULES, order: int = ORDER, carry: bool = False) -> DataFrame:
@@ -139,10 +150,10 @@ def judge_urls(pages: DataFrame, *, page_id: str = "page_id", url: str = "url",
     rows = rows.withColumns({"rule": name, "allow": allow}).withColumn("body", F.concat("host", "path")).withColumn("key", F.xxhash64("host", "path"))
     bodies = rows.groupBy("key").agg(F.first("body").alias("body"), F.first("allow").alias("allow"), F.count(F.lit(1)).alias("n"))
     positions = settled(_gram_positions(bodies, order))
-    counted = positions.groupBy("gram").agg(F.sum(F.when(F.col("allow"), F.col("n")).otherwise(0)).alias("n_yes"), F.sum(F.when(~F.col("allow"), F.col("n")).otherwise(0)).alias("n_no"))
+    counted = positions.groupBy("gram").agg(F.sum(F.when(F.col("allow"), F.col("n")).otherwise(0)).alias("n_yes"), F.sum(F.when(~F.col("allow"), F.col("n")).otherwise(0)).alias("n_no"), F.count(F.lit(1)).alias("places"))
     counted = settled(counted)
     ratios = settled(fit_ratio(counted.where("n_yes + n_no > 0"), counted, order))
-    scores = positions.join(ratios, "gram").groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow"))
+    scores = with_ratios(positions, counted, ratios).groupBy("key").agg(F.round(F.avg("ratio"), 6).alias("score"), F.first("allow").alias("allow"))
     scores = settled(scores)
     threshold = held_out_threshold(positions, order)
     if threshold is None:  # too few labelled URLs to hold any out

@@ -246,3 +246,15 @@ def test_license_query_is_an_exact_join_of_word_pairs(spark, tmp_path):
     for i, text in enumerate(texts):
         assert set(filter(None, got[i].split(","))) == brute(text) | set(base_license(text)[-1]), text
     assert sum(bool(v) for v in got.values()) > 40
+
+
+def test_url_hot_grams_change_nothing(spark, monkeypatch):
+    """Every gram hot, none hot, and the registered bound give the same scores and verdicts, and a row for each page."""
+    from orrery.llm import urls
+
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    found = []
+    for most in (10**9, 1, urls.MOST_HOT):
+        monkeypatch.setattr(urls, "MOST_HOT", most)
+        found.append(sorted(map(str, judge_urls(pages).collect())))
+    assert found[0] == found[1] == found[2] and len(found[0]) == pages.count()
