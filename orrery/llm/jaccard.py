@@ -25,9 +25,11 @@ How it is laid out:
   again.  Rounds of stars come first, while they save more pairs than they cost:
   each bucket of a prefix token has a pivot, and each node tests the pivots of a
   few buckets that aren't known to be in its component; then linked labels become
-  one and buckets of a single label are dropped.  All pairs of different labels
-  that are left are tested, with length, positional and bitmap filters.  No
-  link between components is lost.
+  one and buckets of a single label are dropped.  The first round goes over all
+  buckets, the others over the crowded ones only, with several pivots in each:
+  there the pieces of a large component would meet in very many pairs.  All
+  pairs of different labels that are left are tested, with length, positional
+  and bitmap filters.  No link between components is lost.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,11 +56,13 @@ BUCKET_TOKENS, SLICE_BYTES = 4_000_000, 4 << 20
 LEAST_PARTS = 8
 #: The sample that finds hot tokens and classes, and the count there that makes one.
 SAMPLE_ROWS, HOT = 1024, 8
-#: Star rounds at most, and the pairs whose test takes as long as a round takes for one row (a pair is some xors in a
-#: join's inner loop, a row goes through several shuffles).
-STAR_ROUNDS, FEW_PAIRS = 10, 64
+#: Star rounds at most, and how many pairs a row a round has to save: fewer would be left as pairs of the last join, whose
+#: number grows with the square of a component that is in pieces.
+STAR_ROUNDS, FEW_PAIRS = 10, 1
 #: Buckets of a node that a round draws: two in the first, which join most of a large component, then twice as many up to this.
 DRAWN = 8
+#: From the second round on: rows of a bucket that make it a crowded one, and pivots of a bucket.
+CROWD, PIVOTS = 8, 4
 #: Places in the bitmap that bounds a pair's overlap before whole sets are compared.
 BITS = 1024
 #: Places of the bitmaps that tell whether prefixes of the other orders can share a token.
@@ -352,10 +356,10 @@ def _verify(threshold: int):
     return run
 
 
-def _may_overlap(a: str, b: str, threshold: int, words: int = BITS // 64):
-    """Do the first words of the bitmaps of two sides (structs n, shared, bits) allow the overlap that a link needs?"""
+def _may_overlap(a: str, b: str, threshold: int):
+    """Do the bitmaps of two sides (structs n, shared, bits) allow the overlap that a link needs?"""
     differ = F.lit(0)
-    for i in range(words):
+    for i in range(BITS // 64):
         differ = differ + F.bit_count(F.col(f"{a}.bits")[i].bitwiseXOR(F.col(f"{b}.bits")[i]))
     return (F.col(f"{a}.shared") + F.col(f"{b}.shared") - differ) * (100 + threshold) >= 2 * threshold * (F.col(f"{a}.n") + F.col(f"{b}.n"))
 
@@ -396,17 +400,46 @@ def cross_pairs(rows: DataFrame) -> float:
     return by_token.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("p")).first()["p"]
 
 
-def _pivot_pairs(rows: DataFrame, seed: int, threshold: int) -> DataFrame:
-    """For each node the pivots of a few of its buckets that have other labels: (a, b, label, to).
+def _pivot_pairs(rows: DataFrame, profiles: DataFrame, seed: int, threshold: int) -> DataFrame:
+    """For each node the pivots of a few of its buckets that have other labels, if the bitmaps allow a link: (a, b, label, to).
 
-    Buckets are drawn by hash, so that alike sets mostly draw alike, and so are
-    pivots among a bucket's nodes, so that large components are met most.
+    In the first round (seed 0) buckets are drawn by hash, so that alike sets mostly draw alike, and so are pivots among a
+    bucket's nodes, so that large components are met most.  Later what is left of a large component are mostly single
+    nodes that link with a part of it only, so crowded buckets alone are looked at, and each draws pivots of its own.
     """
-    pivots = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")).select("token", "pivot.b", "pivot.m", "pivot.to")
+    if seed:
+        return _crowd_pairs(rows, profiles, seed, threshold)
+    pivots = rows.groupBy("token").agg(_least(F.xxhash64("node", F.lit(seed)))).select("token", "pivot.*")
+    met = settled(_drawn(rows, seed), True).join(settled(pivots, True), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
+    tested = settled(met.select("a", "b", "label", "to").distinct(), True)
+    likely = settled(_likely(tested, profiles, threshold), True)
+    forget(tested)
+    return likely
+
+
+def _least(draw) -> Column:
+    return F.min(F.struct(draw.alias("draw"), F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("to"))).alias("pivot")
+
+
+def _drawn(rows: DataFrame, seed: int) -> DataFrame:
+    """(a, n, label, token): a few buckets of each node."""
     drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.xxhash64("token", F.lit(seed)).alias("draw"), "token"))), 1, min(DRAWN, 2 << seed))  # of one node's prefix
-    chosen = rows.groupBy(F.col("node").alias("a"), "n", "label").agg(drawn.alias("drawn")).select("a", "n", "label", F.explode("drawn.token").alias("token"))
-    met = settled(chosen, True).join(settled(pivots, True), "token").where((F.col("label") != F.col("to")) & _long_enough("n", "m", threshold))
-    return met.select("a", "b", "label", "to").distinct()
+    return rows.groupBy(F.col("node").alias("a"), "n", "label").agg(drawn.alias("drawn")).select("a", "n", "label", F.explode("drawn.token").alias("token"))
+
+
+def _crowd_pairs(rows: DataFrame, profiles: DataFrame, seed: int, threshold: int) -> DataFrame:
+    """As _pivot_pairs, of crowded buckets; the filters are met before a pair is made."""
+    crowded = settled(rows.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > CROWD).select("token"), True)
+    crowd = settled(rows.join(crowded, "token", "left_semi"), True)
+    slot = F.pmod(F.xxhash64("token", "node", F.lit(-seed)), F.lit(PIVOTS))
+    pivots = crowd.groupBy("token", slot.alias("slot")).agg(_least(F.xxhash64("node", "token", F.lit(seed)))).select("token", "pivot.b", "pivot.m", "pivot.to")
+    side = lambda node, name: profiles.select(F.col("node").alias(node), F.struct("n", "shared", "others", "bits").alias(name))
+    left = settled(_drawn(crowd, seed), True).join(side("a", "x"), "a")
+    right = settled(pivots, True).join(side("b", "y"), "b")
+    alike = (F.col("label") != F.col("to")) & _long_enough("x.n", "y.n", threshold) & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold)
+    likely = settled(left.join(right, "token").where(alike).select("a", "b", "label", "to").distinct(), True)
+    forget(crowded, crowd)
+    return likely
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -431,28 +464,27 @@ def candidate_pairs(rows: DataFrame, profiles: DataFrame, threshold: int) -> Dat
     anywhere in its prefix; so a bucket without such a token is dropped, and
     pairs are made of index tokens and prefix tokens only.  They are made if
     sizes and places allow the overlap, if the prefixes of the other orders can
-    share a token too, and if the first half of the bitmaps allows the overlap;
-    the whole bitmaps come after.  The most common label of a bucket never
-    meets itself, so a bucket costs what its pairs of different labels do.
+    share a token too, and if the bitmaps allow the overlap.  The most common
+    label of a bucket never meets itself, so a bucket costs what its pairs of
+    different labels do.
     """
     index = (F.col("n") - F.col("place")) * (100 + threshold) >= 2 * threshold * F.col("n")
     by_label = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"), F.max(index).alias("index"))
     buckets = by_label.groupBy("token").agg(F.max(F.struct("c", "label")).alias("most"), F.max("index").alias("index"), F.count(F.lit(1)).alias("labels"))
     buckets = settled(buckets.where("index and labels > 1").select("token", F.col("most.label").alias("major"), (F.col("most.c") > 1).alias("split")))
-    side = profiles.select("node", F.struct("shared", "others", F.slice("bits", 1, BITS // 128).alias("bits")).alias("set"))
+    side = profiles.select("node", F.struct("shared", "others", "bits").alias("set"))
     placed = settled(rows.join(buckets, "token").join(side, "node").withColumn("minor", ~F.col("split") | (F.col("label") != F.col("major"))).drop("major", "split"))
     role = lambda node, at, label, name, minor: [F.col("node").alias(node), F.col("place").alias(at), F.col("label").alias(label), F.struct("n", "set.*").alias(name), F.col("minor").alias(minor)]
     larger, smaller = placed.select("token", *role("a", "i", "from", "x", "a_minor")), placed.where(index).select("token", *role("b", "j", "to", "y", "b_minor"))
     n, m = F.col("x.n"), F.col("y.n")
     in_order = (m < n) | ((m == n) & (F.col("a") < F.col("b")))
     far_enough = F.least(n - F.col("i"), m - F.col("j")) * (100 + threshold) >= (n + m) * threshold
-    alike = (F.col("from") != F.col("to")) & in_order & _long_enough("x.n", "y.n", threshold) & far_enough & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold, BITS // 128)
+    alike = (F.col("from") != F.col("to")) & in_order & _long_enough("x.n", "y.n", threshold) & far_enough & _may_share_prefixes("x", "y") & _may_overlap("x", "y", threshold)
     met = larger.join(smaller.where("b_minor"), "token").where(alike).select("a", "b")
     if not buckets.where("split").isEmpty():
         met = met.union(larger.where("a_minor").join(smaller.where("not b_minor"), "token").where(alike).select("a", "b"))
-    some = settled(met.distinct())
-    pairs = settled(_likely(some, profiles, threshold))
-    forget(placed, buckets, some)
+    pairs = settled(met.distinct())
+    forget(placed, buckets)
     return pairs
 
 
@@ -465,18 +497,16 @@ def link_components(profiles: DataFrame, threshold: int, star_rounds: int = STAR
     every, gain = [], None
     left = cross_pairs(rows)
     for step in range(star_rounds):
-        # A round costs about as much as testing few_pairs pairs for each row; it has to be worth that.
         worth = few_pairs * rows.count()
         if left <= worth or (gain is not None and gain <= worth):
             break
-        tested = settled(_pivot_pairs(rows, step, threshold), True)
-        likely = settled(_likely(tested, profiles, threshold), True)
-        links = settled(verified(likely, profiles, threshold).join(tested, ["a", "b"]), True)
+        likely = _pivot_pairs(rows, profiles, step, threshold)
+        links = settled(verified(likely, profiles, threshold).join(likely, ["a", "b"]), True)
         if not links.isEmpty():
             every.append(links.select("a", "b"))
             before, rows = rows, _contracted(rows, links)
             forget(before)
-        forget(tested, likely)
+        forget(likely)
         release(spark)
         gain, left = left - (now := cross_pairs(rows)), now
     pairs = candidate_pairs(rows, profiles, threshold)

@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pytest
 
+from orrery.llm import jaccard
 from orrery.llm.graph import components
 from orrery.llm.jaccard import _pack, _unpack, jaccard_components
 
@@ -107,3 +108,19 @@ def test_packed_tokens_come_back():
         tokens = rng.integers(0, 1 << 48, counts.sum()).astype(np.uint64)
         node, size, token = _unpack(_pack(nodes, sizes, counts, tokens))
         assert (node == np.repeat(nodes, counts)).all() and (size == np.repeat(sizes, counts)).all() and (token == tokens).all()
+
+
+def test_pieces_of_a_large_component_meet_in_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(i, edited(base, rng, rng.choice([1, 2, 3, 4]))) for i in range(100)] + [(1000 + i, " ".join(f"v{i // 2}x{j}" for j in range(40)) + f" {i}") for i in range(20)]
+    made, made_of = [], jaccard.candidate_pairs
+
+    def counted(*given):
+        pairs = made_of(*given)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "candidate_pairs", counted)
+    assert run(spark, rows) == brute(rows)
+    assert made[0] <= 2 * len(rows)
