@@ -8,8 +8,10 @@ its first words only.
 
 No source is ever sorted in one task: the key range of a source is cut into
 buckets of about max(BUCKET_ROWS, sqrt(rows)) rows by the keys' distribution,
-buckets are summed, and prefix sums are an offset per bucket plus a running
-sum within it.
+buckets are summed, and the sums' prefix sums show the bucket in which the
+budget of a source runs out.  Documents of lower buckets give all their words,
+those of higher ones none, so that bucket's documents are the only ones that
+are sorted, and the only ones that are shuffled.
 """
 
 from __future__ import annotations
@@ -71,16 +73,20 @@ def mix_sources(
     uniform = (F.shiftrightunsigned("tie", 11) + 0.5) / float(1 << 53)
     rows = settled(rows.withColumn("key", -F.log(uniform) / quality_weight(F.col("size"), F.col("chars"))).drop("chars"))
     goals = settled(source_targets(rows, weights, most_epochs))
-    joined = rows.alias("r").join(goals.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).select("r.*", "source_size", "n_docs", "target")
-    buckets = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(bucket_rows)), F.sqrt("n_docs")))
-    joined = joined.withColumn("bucket", F.least(buckets - 1, F.floor(buckets * (1 - F.exp(F.col("key") * -0.9)))).cast("long"))
-    sums = joined.groupBy("source", "bucket").agg(F.sum("size").alias("sum"))
-    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sums.select(F.col("source").alias("of"), F.col("bucket").alias("in"), before.alias("offset"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.round(F.col("target") - epochs * F.col("source_size")).cast("long")
-    part = F.least(F.greatest(rest - F.col("offset") - F.col("ahead"), F.lit(0)), F.col("size"))
-    return placed.select(*(["document"] if carry else []), "doc_id", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    goals = goals.withColumn("epochs", epochs).withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
+    of_source = lambda table, more: table.alias("r").join(more.alias("g"), F.col("r.source").eqNullSafe(F.col("g.source"))).drop(F.col("g.source"))
+    buckets = F.ceil(F.col("n_docs") / F.greatest(F.lit(float(bucket_rows)), F.sqrt("n_docs")))
+    bucket = F.least(buckets - 1, F.floor(buckets * (1 - F.exp(F.col("key") * -0.9)))).cast("long")
+    sums = of_source(rows.select("source", "size", "key"), goals.select("source", "n_docs", "rest")).groupBy("source", "rest", bucket.alias("bucket")).agg(F.sum("size").alias("sum"))
+    sums = sums.withColumn("offset", F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # The last bucket that the rest of the budget reaches; none if there is no rest.
+    edges = sums.where("offset < rest").groupBy("source").agg(F.max(F.struct("bucket", "offset")).alias("edge"))
+    edges = settled(goals.join(edges.select(F.col("source").alias("of"), "edge"), F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "n_docs", "target", "epochs", "rest", F.coalesce("edge.bucket", F.lit(-1)).alias("edge"), F.coalesce("edge.offset", F.lit(0)).alias("offset")))
+    joined = of_source(rows, edges).withColumn("bucket", bucket)
+    clear = joined.where("bucket <> edge").withColumn("part", F.when(F.col("bucket") < F.col("edge"), F.col("size")).otherwise(0))
+    within = Window.partitionBy("source").orderBy("key", "tie", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("offset") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    cut = joined.where("bucket = edge").withColumn("part", F.least(F.greatest(F.col("rest") - ahead, F.lit(0)), F.col("size")))
+    placed = clear.union(cut)
+    return placed.select(*(["document"] if carry else []), "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"))

@@ -57,3 +57,10 @@ def test_better_documents_come_first(spark):
     r = mix_sources(docs).where("source_size > target").groupBy((F.col("doc_id") % 2).alias("good")).agg(F.sum("taken").alias("t")).collect()
     t = {x["good"]: x["t"] for x in r}
     assert t[1] > 1.2 * t[0]
+
+
+def test_documents_are_not_shuffled(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    plan = mix_sources(docs, carry=True, bucket_rows=8)._jdf.queryExecution().executedPlan().toString()
+    # only what lies in the bucket where a source's budget runs out
+    assert plan.count("Exchange hashpartitioning") == 1 and not re.search(r"hashpartitioning\([^)]*bucket", plan)
